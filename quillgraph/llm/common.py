@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 #: Bytes that one Arrow batch on its way to a Python worker may hold.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import simhash, url_filter
+from quillgraph.llm import bpe, simhash, url_filter
 from quillgraph.llm.common import table
 
 #: The rules that op10 judges by (host, path, verdict).
@@ -18,12 +19,20 @@ URL_RULES = [
     ("com", "/de/", "block"),
 ]
 
+#: The rank file that op9 encodes by.
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document, encoded and decoded."""
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict for every page's URL."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -50,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
     return {
         "op7_simhash": op7_simhash,
+        "op9_bpe": op9_bpe,
         "op10_url_filter": op10_url_filter,
     }
 
