@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe, simhash, url_filter
+from quillgraph.llm import bpe, gif, simhash, url_filter
 from quillgraph.llm.common import table
 
 #: The rules that op10 judges by (host, path, verdict).
@@ -23,6 +23,11 @@ URL_RULES = [
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
+def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text stored as a GIF and read back."""
+    return gif.text_media(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -58,6 +63,7 @@ SELECT page_id, p.host, p.path, b.rule AS rule, coalesce(b.verdict, 'allow') AS
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
     return {
+        "op3_gif": op3_gif,
         "op7_simhash": op7_simhash,
         "op9_bpe": op9_bpe,
         "op10_url_filter": op10_url_filter,
