@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, gif, simhash, url_filter
+from quillgraph.llm import bpe, gif, mtree, simhash, url_filter
 from quillgraph.llm.common import table
 
 #: The rules that op10 judges by (host, path, verdict).
@@ -28,6 +29,24 @@ def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.text_media(table(spark, sf_dir, "documents"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best partners of every vector whose id is divisible by 50."""
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP6_SQL = """
+WITH e AS (
+  SELECT vec_id AS id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)
+), s AS (
+  SELECT q.id AS query_id, c.id AS vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM e AS q JOIN e AS c ON q.id % 50 = 0 AND q.id <> c.id AND len(q.v) = len(c.v)
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -64,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
     return {
         "op3_gif": op3_gif,
+        "op6_topk": op6_topk,
         "op7_simhash": op7_simhash,
         "op9_bpe": op9_bpe,
         "op10_url_filter": op10_url_filter,
@@ -72,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those that SQL can express on whole tables."""
-    return {"op10_url_filter": OP10_SQL}
+    return {"op6_topk": OP6_SQL, "op10_url_filter": OP10_SQL}
