@@ -41,10 +41,11 @@ class MTree:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order].astype(np.float64)
-        #: A node is (pivots, radii, distances to the parent's pivot, children) or a leaf (rows, distances to its pivot).
+        #: A node is (pivots, radii, distances to the parent's pivot, children) or a leaf (ids, vectors, distances to its pivot).
         self.nodes: list[tuple] = []
         self.computed = 0
-        self.root = self._build(np.arange(ids.size), self.vectors.mean(axis=0) if ids.size else None)
+        self.centre = self.vectors.mean(axis=0) if ids.size else None
+        self.root = self._build(np.arange(ids.size), self.centre)
 
     def _build(self, rows: np.ndarray, parent: np.ndarray) -> int:
         if rows.size <= LEAF:
@@ -74,7 +75,7 @@ class MTree:
     def _leaf(self, rows: np.ndarray, pivot: np.ndarray) -> int:
         away = np.sqrt(((self.vectors[rows] - pivot) ** 2).sum(axis=1)) if rows.size else np.empty(0)
         order = np.argsort(-away, kind="stable")
-        self.nodes.append((rows[order], away[order]))
+        self.nodes.append((self.ids[rows[order]], self.vectors[rows[order]], away[order]))
         return len(self.nodes) - 1
 
     def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
@@ -82,7 +83,7 @@ class MTree:
         query = query.astype(np.float64)
         length = float(np.sqrt(query @ query))
         slack = 1e-6 * (1.0 + length)
-        top = float(query @ self.vectors.mean(axis=0)) if self.ids.size else 0.0
+        top = float(query @ self.centre) if self.ids.size else 0.0
         queue: list[tuple[float, int, float]] = [(-np.inf, self.root, top)]
         best: list[tuple[int, int]] = []  # a heap of (score, -id)
         while queue:
@@ -90,16 +91,13 @@ class MTree:
             least = best[0][0] if len(best) == k else -np.inf
             if -bound + slack < least:
                 break
-            if len(self.nodes[node]) == 2:
-                rows, away = self.nodes[node]
-                near = rows[: int(np.searchsorted(-away, -(least - slack - at_pivot) / length, side="right"))] if length and least > -np.inf else rows
-                self.computed += near.size
-                scores = np.rint(self.vectors[near] @ query).astype(np.int64)
-                ids = self.ids[near]
-                keep = ids != own
-                if len(best) == k:
-                    keep &= scores >= least
-                scores, ids = scores[keep], ids[keep]
+            if len(self.nodes[node]) == 3:
+                ids, rows, away = self.nodes[node]
+                near = int(np.searchsorted(-away, -(least - slack - at_pivot) / length, side="right")) if length and least > -np.inf else ids.size
+                self.computed += near
+                scores = rows[:near] @ query
+                keep = np.flatnonzero((scores > least - 0.5) & (ids[:near] != own))
+                scores, ids = np.rint(scores[keep]).astype(np.int64), ids[keep]
                 if scores.size > k:
                     pick = np.lexsort((ids, -scores))[:k]
                     scores, ids = scores[pick], ids[pick]
