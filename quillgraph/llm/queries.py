@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, gif, mtree, simhash, url_filter
+from quillgraph.llm import bpe, gif, mtree, simhash, toxicity, url_filter
 from quillgraph.llm.common import table
 
 #: The rules that op10 judges by (host, path, verdict).
@@ -29,6 +29,12 @@ def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.text_media(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the table labels."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best partners of every vector whose id is divisible by 50."""
     return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
@@ -83,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
     return {
         "op3_gif": op3_gif,
+        "op4_toxicity": op4_toxicity,
         "op6_topk": op6_topk,
         "op7_simhash": op7_simhash,
         "op9_bpe": op9_bpe,
