@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, gif, mtree, simhash, toxicity, url_filter
+from quillgraph.llm import bpe, gif, langid, mtree, sharding, simhash, toxicity, url_filter
 from quillgraph.llm.common import table
 
 #: The rules that op10 judges by (host, path, verdict).
@@ -24,6 +24,12 @@ URL_RULES = [
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.learn(docs))
+
+
 def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text stored as a GIF and read back."""
     return gif.text_media(table(spark, sf_dir, "documents"))
@@ -35,6 +41,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards of all documents, near equal in bytes."""
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best partners of every vector whose id is divisible by 50."""
     return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
@@ -88,8 +99,10 @@ SELECT page_id, p.host, p.path, b.rule AS rule, coalesce(b.verdict, 'allow') AS
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
     return {
+        "op1_language_id": op1_language_id,
         "op3_gif": op3_gif,
         "op4_toxicity": op4_toxicity,
+        "op5_sharding": op5_sharding,
         "op6_topk": op6_topk,
         "op7_simhash": op7_simhash,
         "op9_bpe": op9_bpe,
