@@ -7,7 +7,7 @@ The points of all nodes of a level are found together: a pass adds up the bytes
 ``BUCKETS`` intervals of every node's key and only the interval around the point is divided
 again, so a pass returns a bounded number of sums and no document is moved. The key is
 the coordinate, then the text's crc32, so equal texts stay together; only a group of equal texts
-that would leave the halves uneven by over ``KEEP_TOGETHER`` is divided, by the hash of the ids.
+that would move a split by over ``KEEP_TOGETHER`` of a leaf is divided, by the hash of the ids.
 
 Defined results: a null text has size 1. An empty table gives an empty result. Repeated rows are
 placed like any others; rows equal in id and text lie in one shard.
@@ -26,8 +26,8 @@ from quillgraph.llm.common import checkpoint
 BUCKETS = 2048
 #: Share of a node's bytes within which a split is near enough.
 TOLERANCE = 0.0005
-#: Share of a node's bytes by which a split may miss so as to keep equal texts together.
-KEEP_TOGETHER = 0.0025
+#: Share of a leaf's bytes by which a split may miss so as to keep equal texts together.
+KEEP_TOGETHER = 0.05
 DIMENSIONS = ("size", "spaces", "lines")
 
 
@@ -38,6 +38,7 @@ class Split:
     node: int
     dimension: int
     total: int
+    leaf: float
     aim: float
     low: int
     high: int
@@ -94,16 +95,16 @@ def _narrow(s: Split, sums: list[tuple[int, int]]) -> None:
         left += w
     start, end = s.low + bucket * width, min(s.high, s.low + (bucket + 1) * width - 1)
     near_left = s.aim - left <= left + w - s.aim
-    miss = min(abs(s.aim - left), abs(left + w - s.aim)) / s.total
+    miss = min(abs(s.aim - left), abs(left + w - s.aim))
     point = start if near_left else end + 1
     if s.tie is None:
-        if (w <= TOLERANCE * s.total and miss <= TOLERANCE) or (start == end and miss <= KEEP_TOGETHER):
+        if w <= TOLERANCE * s.total or (start == end and miss <= KEEP_TOGETHER * s.leaf):
             s.cut = (point, 0)
         elif start == end:
             s.tie, s.low, s.high, s.base = start, 0, (1 << 62) - 1, left
         else:
             s.low, s.high, s.base = start, end, left
-    elif start == end or miss <= TOLERANCE:
+    elif start == end or miss <= TOLERANCE * s.total:
         s.cut = (s.tie, point)
     else:
         s.low, s.high, s.base = start, end, left
@@ -124,7 +125,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
         for r in rows.where(F.col("node").isin(list(leaves))).groupBy("node").agg(F.sum("size").alias("w"), *spans).collect():
             wide = max(range(len(DIMENSIONS)), key=lambda i: ((r[f"max{i}"] >> 32) - (r[f"min{i}"] >> 32), -i))
             aim = r["w"] * (leaves[r["node"]] // 2) / leaves[r["node"]]
-            splits.append(Split(r["node"], wide, r["w"], aim, r[f"min{wide}"], r[f"max{wide}"]))
+            splits.append(Split(r["node"], wide, r["w"], r["w"] / leaves[r["node"]], aim, r[f"min{wide}"], r[f"max{wide}"]))
         if not splits:
             break
         _search(rows, splits)
