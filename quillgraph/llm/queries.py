@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, gif, langid, mtree, sharding, simhash, toxicity, url_filter
+from quillgraph.llm import bpe, gif, html_text, langid, mtree, sharding, simhash, toxicity, url_filter
 from quillgraph.llm.common import table
 
 #: The rules that op10 judges by (host, path, verdict).
@@ -69,6 +69,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document, encoded and decoded."""
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
@@ -105,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sharding": op5_sharding,
         "op6_topk": op6_topk,
         "op7_simhash": op7_simhash,
+        "op8_html": op8_html,
         "op9_bpe": op9_bpe,
         "op10_url_filter": op10_url_filter,
     }
