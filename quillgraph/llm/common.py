@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -47,3 +48,23 @@ def held_out(doc_id: Column) -> Column:
 def hash_unit(*cols: Column) -> Column:
     """A number in [0, 1) that depends on the columns alone."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
+class Carried:
+    """Columns that a Python stage passes on untouched; the text, which it reads anyway, crosses once."""
+
+    def __init__(self, docs: DataFrame, columns: list[str], text_col: str) -> None:
+        self.columns, self.text_col = columns, text_col
+        self.others = [c for c in columns if c != text_col]
+        self.given = [F.col(f"`{c}`").alias(f"carried{i}") for i, c in enumerate(self.others)]
+        kinds = [f"carried{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(self.others)]
+        self.schema = "".join(f", {k}" for k in [*kinds, *["carried_text string"] * (text_col in columns)])
+        self.names = [*[f"carried{i}" for i in range(len(self.others))], *["carried_text"] * (text_col in columns)]
+
+    def arrays(self, batch: pa.RecordBatch, text_at: int, first: int) -> list[pa.Array]:
+        """The carried columns of a batch whose text is column ``text_at`` and whose others begin at ``first``."""
+        return [*batch.columns[first:], *[batch.column(text_at)] * (self.text_col in self.columns)]
+
+    def restored(self) -> list[Column]:
+        """The columns under their own names and in their order."""
+        return [F.col("carried_text" if c == self.text_col else f"carried{self.others.index(c)}").alias(c) for c in self.columns]

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import bound_batches, hash_unit, held_out
+from quillgraph.llm.common import Carried, bound_batches, hash_unit, held_out
 
 WINDOW, HIDDEN = 64, 8
 #: Documents of each language to learn from, characters of each, and languages, at most.
@@ -180,11 +180,13 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return train([t for t, _ in texts], [v for _, v in texts]) if texts else None
 
 
-def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every row."""
+def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) for every row; with ``carry``, those columns, lang_pred and score."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed number of weights a language
 
+    carried = Carried(docs, carry or [], text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
@@ -195,8 +197,8 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
                 p = own.documents([texts[i].encode() for i in read])
                 for i, k, s in zip(read, p.argmax(axis=1).tolist(), p.max(axis=1).tolist(), strict=True):
                     langs[i], scores[i] = own.languages[k], min(1.0, s)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *carried.arrays(b, 1, 3)], names=["doc_id", "held_out", "lang_pred", "score", *carried.names])
 
-    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(F.col(id_col)).alias("held_out"))
-    out = given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
-    return out.withColumnRenamed("doc_id", id_col)
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(F.col(id_col)).alias("held_out"), *carried.given)
+    out = given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double" + carried.schema)
+    return out.select(*carried.restored(), "lang_pred", "score") if carry else out.select(F.col("doc_id").alias(id_col), "held_out", "lang_pred", "score")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, gif, html_text, langid, mtree, sharding, simhash, toxicity, url_filter
+from quillgraph.llm import bpe, gif, html_text, langid, mixing, mtree, sharding, simhash, toxicity, url_filter
 from quillgraph.llm.common import table
 
 #: The rules that op10 judges by (host, path, verdict).
@@ -30,6 +30,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.learn(docs))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents that give every language the same number of expected tokens."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text stored as a GIF and read back."""
     return gif.text_media(table(spark, sf_dir, "documents"))
@@ -105,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
     return {
         "op1_language_id": op1_language_id,
+        "op2_mixing": op2_mixing,
         "op3_gif": op3_gif,
         "op4_toxicity": op4_toxicity,
         "op5_sharding": op5_sharding,

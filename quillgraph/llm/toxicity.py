@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import bound_batches, held_out
+from quillgraph.llm.common import Carried, bound_batches, held_out
 
 #: Labelled rows to learn from, at most.
 LEARN_ROWS = 8000
@@ -154,13 +154,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([np.frombuffer(t, np.int32) for _, _, t in rows], np.array([float(y > 0) for _, y, _ in rows]))
 
 
-def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row."""
+def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row; with ``carry``, those columns and predicted."""
     spark = docs.sparkSession
     bound_batches(spark)
     active = np.flatnonzero((machine.w != 0) | (machine.v != 0).any(axis=1))
     shared = spark.sparkContext.broadcast((machine.w0, active, machine.w[active], machine.v[active]))  # at most BUCKETS weights
 
+    carried = Carried(docs, carry or [], text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w0, active, w, v = shared.value
         place = np.full(BUCKETS, -1, dtype=np.int32)
@@ -168,8 +170,9 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
         own, terms = Machine(w0, w, v), Terms(active)
         for b in batches:
             rows = [place[terms.of(t.as_py())] for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(own.scores(rows), pa.float64())], names=["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(own.scores(rows), pa.float64()), *carried.arrays(b, 1, 3)], names=["doc_id", "held_out", "score", *carried.names])
 
-    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(F.col(id_col)).alias("held_out"))
-    out = given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).withColumnRenamed("doc_id", id_col)
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(F.col(id_col)).alias("held_out"), *carried.given)
+    out = given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double" + carried.schema)
+    judged = (F.col("score") >= threshold).cast("int").alias("predicted")
+    return out.select(*carried.restored(), judged) if carry else out.select(F.col("doc_id").alias(id_col), "held_out", "score", judged)
