@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -61,9 +62,10 @@ class Carried:
         self.schema = "".join(f", {k}" for k in [*kinds, *["carried_text string"] * (text_col in columns)])
         self.names = [*[f"carried{i}" for i in range(len(self.others))], *["carried_text"] * (text_col in columns)]
 
-    def arrays(self, batch: pa.RecordBatch, text_at: int, first: int) -> list[pa.Array]:
-        """The carried columns of a batch whose text is column ``text_at`` and whose others begin at ``first``."""
-        return [*batch.columns[first:], *[batch.column(text_at)] * (self.text_col in self.columns)]
+    def arrays(self) -> Callable[[pa.RecordBatch, int, int], list[pa.Array]]:
+        """A function for the carried columns of a batch, given where its text is and where its other columns begin."""
+        with_text = self.text_col in self.columns
+        return lambda batch, text_at, first: [*batch.columns[first:], *[batch.column(text_at)] * with_text]
 
     def restored(self) -> list[Column]:
         """The columns under their own names and in their order."""

@@ -186,6 +186,7 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed number of weights a language
 
     carried = Carried(docs, carry or [], text_col)
+    passed, names = carried.arrays(), carried.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -197,7 +198,7 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
                 p = own.documents([texts[i].encode() for i in read])
                 for i, k, s in zip(read, p.argmax(axis=1).tolist(), p.max(axis=1).tolist(), strict=True):
                     langs[i], scores[i] = own.languages[k], min(1.0, s)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *carried.arrays(b, 1, 3)], names=["doc_id", "held_out", "lang_pred", "score", *carried.names])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *passed(b, 1, 3)], names=["doc_id", "held_out", "lang_pred", "score", *names])
 
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(F.col(id_col)).alias("held_out"), *carried.given)
     out = given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double" + carried.schema)

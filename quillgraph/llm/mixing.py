@@ -63,7 +63,8 @@ def memberships(docs: DataFrame, model: tuple[list[str], list[float], DataFrame]
     """(doc_id, n_tokens, p): tokens and posterior of every row, checkpointed."""
     domains, priors, table = model
     k = range(len(domains))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.explode_outer(_words(F.col(text_col))).alias("word"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), _words(F.col(text_col)).alias("words"))
+    rows = numbered.select("row", "doc_id", F.explode_outer("words").alias("word"))
     met = rows.join(F.broadcast(table), "word", "left")  # at most VOCABULARY rows
     sums = met.groupBy("row", "doc_id").agg(
         F.sum(F.coalesce((F.col("word") != "").cast("long"), F.lit(0))).alias("n_tokens"), F.count("l0").alias("known"), *[F.sum(f"l{i}").alias(f"s{i}") for i in k]

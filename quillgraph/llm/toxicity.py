@@ -162,6 +162,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     shared = spark.sparkContext.broadcast((machine.w0, active, machine.w[active], machine.v[active]))  # at most BUCKETS weights
 
     carried = Carried(docs, carry or [], text_col)
+    passed, names = carried.arrays(), carried.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w0, active, w, v = shared.value
@@ -170,7 +171,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
         own, terms = Machine(w0, w, v), Terms(active)
         for b in batches:
             rows = [place[terms.of(t.as_py())] for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(own.scores(rows), pa.float64()), *carried.arrays(b, 1, 3)], names=["doc_id", "held_out", "score", *carried.names])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(own.scores(rows), pa.float64()), *passed(b, 1, 3)], names=["doc_id", "held_out", "score", *names])
 
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(F.col(id_col)).alias("held_out"), *carried.given)
     out = given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double" + carried.schema)
