@@ -30,7 +30,7 @@ from quillgraph.llm.common import checkpoint, hash_unit
 #: Labelled rows to learn from, words in the classifier's table, and domains, at most.
 LEARN_ROWS, VOCABULARY, DOMAINS = 3000, 4096, 64
 #: Words whose evidence a posterior takes at most, so that memberships of long texts stay soft.
-EVIDENCE = 24.0
+EVIDENCE = 3.0
 #: Steps at most, and the share of all tokens by which every total may miss its target.
 STEPS, CLOSE = 60, 1e-7
 UNKNOWN = "unknown"
