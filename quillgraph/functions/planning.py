@@ -55,28 +55,25 @@ def compressed_bytes(dim: int, level: CodecLevel) -> int:
     return -(-dim // level.column_slice) * (1 if level.n_clusters <= 256 else 2)
 
 
-def allocate(capacity: float, weights: list[float], limits: list[float], rounds: int = 10, spare: int = 4) -> list[int]:
-    """Split a capacity in proportion to weights, no part above its limit; what a full part leaves goes to the others.
+def allocate(capacity: float, weights: list[float], limits: list[float], rounds: int = 11, spare: int = 4) -> list[int]:
+    """Split a capacity in proportion to weights, no part above its limit; what a full part leaves is dealt out again.
 
-    Every round deals out the share not yet dealt, in proportion to the weights of the parts still
-    open. It ends once all is dealt, all are full, or after ``rounds``.
+    Every round deals out the share not yet dealt, in proportion to the weights of all parts, to
+    those still open. It ends once all is dealt, all are full, or after ``rounds``.
     """
-    if capacity <= 0:
+    if capacity <= 0 or sum(weights) <= 0:
         return [0 for _ in weights]
     caps = [limit / capacity for limit in limits]
-    shares = [0.0] * len(weights)
-    full = [False] * len(weights)
+    shares, closed = [0.0] * len(weights), set()
     for _ in range(rounds):
         left = 1.0 - sum(shares)
-        weight = sum(w for w, f in zip(weights, full, strict=True) if not f)
-        if left <= 1e-5 or weight <= 0:
-            break
-        for i, w in enumerate(weights):
-            if full[i]:
-                continue
-            shares[i] += left * w / weight
-            if shares[i] >= caps[i]:
-                shares[i], full[i] = caps[i], True
-        if all(full):
+        if left <= 1e-5 or len(closed) == len(weights):
             break
+        for i in sorted(set(range(len(weights))) - closed):
+            more = left * weights[i] / sum(weights)
+            if shares[i] + more < caps[i]:
+                shares[i] += more
+            else:
+                shares[i] = caps[i]
+                closed.add(i)
     return [int(capacity * s) + spare for s in shares]

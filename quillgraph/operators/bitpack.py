@@ -24,7 +24,7 @@ def pack(codes: Column, dim: int, bits: int) -> Column:
 
 
 def unpack(packed: Column, dim: int, bits: int) -> Column:
-    """Array of ``dim`` codes of an array of bytes."""
+    """Array of ``dim`` codes of an array of bytes, which is read once."""
     per, mask = 8 // check_bits(bits, PACKED_BITS), (1 << bits) - 1
-    shift = lambda j: F.element_at(packed, F.floor(j / per).cast("int") + 1) / F.pow(F.lit(2), bits * (j % per))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: F.floor(shift(j)).cast("int").bitwiseAND(F.lit(mask)))
+    codes = lambda byte: F.array(*[F.shiftright(byte, bits * i).bitwiseAND(F.lit(mask)) for i in range(per)])
+    return F.slice(F.flatten(F.transform(packed.cast("array<int>"), codes)), 1, dim)
