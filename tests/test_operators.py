@@ -1,0 +1,163 @@
+"""Twins in plain Python, edge cases and identities that fixed tables do not reach."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillgraph.functions import planning
+from quillgraph.functions import vectors as vec
+from quillgraph.operators import aggregate, bitpack, caching, graph, kmeans, model, sampling, sq, vq
+from quillgraph.sources import tables
+from quillgraph.streaming import encode as stream
+
+
+def twin_encode(x, book, bits, width):
+    out = []
+    half = 1 << (bits - 1)
+    for j, v in enumerate(x):
+        fmin, fmax, emin, emax, _ = book.rows[j // width]
+        if bits == 1:
+            out.append(0 if v <= 0 else 1)
+            continue
+        e = math.floor((math.log2(min(max(abs(v), fmin), fmax)) - emin) / (emax - emin) * half)
+        out.append((-1 - e if v <= 0 else e) + (half if bits < 8 else 0))
+    return out
+
+
+@pytest.fixture(scope="module")
+def features(spark):
+    rng = np.random.default_rng(4)
+    x = rng.uniform(-1, 1, (40, 11))
+    x[0, :4] = [0.0, -0.0, 50.0, 1e-9]
+    return x, spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "node_id long, feat array<double>")
+
+
+@pytest.mark.parametrize("bits", planning.CODE_BITS)
+def test_scalar_codes_against_twin(features, bits):
+    x, df = features
+    book = sq.codebook(df, 6)
+    assert len(book.rows) == 2  # the last slice is shorter
+    got = {r.node_id: r.codes for r in sq.encode(df, book, bits).collect()}
+    for i, r in enumerate(x):
+        assert got[i] == twin_encode(r, book, bits, 6)
+    low, high = (0, (1 << bits) - 1) if bits < 8 else (-(1 << (bits - 1)), (1 << (bits - 1)) - 1)
+    assert all(low <= q <= high for r in got.values() for q in r)
+
+
+@pytest.mark.parametrize("bits", planning.PACKED_BITS)
+def test_unpack_reverses_pack_with_a_tail(spark, bits):
+    dim = 11
+    codes = [[(i * 7 + j * 3) % (1 << bits) for j in range(dim)] for i in range(9)]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "node_id long, codes array<int>")
+    packed = df.select("node_id", bitpack.pack(F.col("codes"), dim, bits).alias("p"))
+    for r in packed.collect():
+        assert len(r.p) == -(-dim * bits // 8)
+        assert r.p[0] == sum(codes[r.node_id][i] << (bits * i) for i in range(8 // bits))
+    back = packed.select("node_id", bitpack.unpack(F.col("p"), dim, bits).alias("codes"))
+    assert {r.node_id: r.codes for r in back.collect()} == dict(enumerate(codes))
+
+
+def test_widths_outside_are_refused():
+    for bits in (3, 8, 16):
+        with pytest.raises(ValueError):
+            bitpack.pack(F.lit(None), 8, bits)
+    with pytest.raises(ValueError):
+        planning.plan_codec(64, 32, 10)
+    with pytest.raises(ValueError):
+        planning.plan_codec(64, 32, 64, n_clusters=40000)
+
+
+def test_mean_of_neighbours_counts_parallel_edges_and_isolated(spark):
+    edges = spark.createDataFrame([(0, 0), (1, 1), (1, 1), (2, 2), (2, 2), (2, 0)], "dst long, src long")
+    f = {0: [1.0, 2.0], 1: [3.0, 5.0], 2: [7.0, 11.0]}
+    features = spark.createDataFrame(list(f.items()), "node_id long, feat array<double>")
+    dsts = spark.createDataFrame([(i,) for i in range(4)], "dst long")
+    for wide in (aggregate.WIDE, 1):
+        aggregate.WIDE, was = wide, aggregate.WIDE
+        try:
+            got = {r.dst: r.feat for r in aggregate.spmm_mean(edges, features, 2, dsts).collect()}
+        finally:
+            aggregate.WIDE = was
+        assert got[0] == f[0] and got[1] == f[1] and got[3] == [0.0, 0.0]
+        assert got[2] == pytest.approx([5.0, 8.0])
+
+
+def test_fused_equals_plain(spark, features):
+    _, df = features
+    edges = spark.createDataFrame([(i % 5, (i * 7) % 40) for i in range(90)], "dst long, src long")
+    book = sq.codebook(df, 8)
+    for bits in planning.CODE_BITS:
+        codes = sq.encode(df, book, bits)
+        plain = vec.to_long(aggregate.spmm_mean(edges, sq.decode(codes, book, bits), 11), key="dst")
+        packed = codes.select("node_id", (bitpack.pack(F.col("codes"), 11, bits) if bits < 8 else F.col("codes")).alias("packed"))
+        fused = aggregate.spmm_sq(edges, packed, book, bits, 11)
+        assert model.errors(plain, fused, ["dst", "j"]).first().max_err < 1e-12
+    centers = vq.codebook(df, 4, 5, max_iter=3)
+    codes = vq.encode(df, centers, 4)
+    plain = vec.to_long(aggregate.spmm_mean(edges, vq.decode(codes, centers, 11), 11), key="dst")
+    assert model.errors(plain, aggregate.spmm_vq(edges, codes, centers, 11, 4), ["dst", "j"]).first().max_err < 1e-12
+
+
+def test_clusters_empty_ties_and_zero_vectors(spark):
+    rows = spark.createDataFrame([(0, 0, [0.0, 0.0]), (1, 0, [1.0, 0.0]), (2, 0, [2.0, 0.0])], "node_id long, cb int, v array<double>")
+    centers = spark.createDataFrame([(0, 0, [1.0, 0.0]), (0, 1, [3.0, 0.0]), (0, 2, [0.0, -1.0])], "cb int, code int, center array<double>")
+    got = {r.node_id: (r.code, r.d) for r in kmeans.assign(rows, centers).collect()}
+    assert got[1] == (0, 0.0) and got[2] == (0, 0.0) and got[0] == (0, 1.0)
+    moved = {r.code: r.center for r in kmeans.lloyd_step(rows, centers).collect()}
+    assert moved[0] == [1.0, 0.0] and moved[1] == [3.0, 0.0] and moved[2] == [0.0, -1.0]
+    assert kmeans.circle_centers(spark, 3, 5, 2).count() == 6
+
+
+def test_caches_at_their_limits(spark):
+    hot = spark.createDataFrame([(i, i % 7) for i in range(30)], "node_id long, h long")
+    assert caching.feature_cache(hot, 8, 0).count() == 0
+    assert caching.feature_cache(hot, 8, 10_000).count() == 30
+    assert [r.h for r in caching.feature_cache(hot, 8, 72).orderBy(F.desc("h")).collect()] == [6, 6, 6, 6]
+    assert planning.allocate(0, [1.0], [5.0]) == [0]
+
+
+def test_prefix_sums_and_positions(spark):
+    rows = spark.createDataFrame([(i, (i * 13) % 17) for i in range(200)], "node_id long, deg long").repartition(5)
+    got = {r.node_id: r.end for r in graph.prefix_sum(rows, ["node_id"], "deg", "end").collect()}
+    total = 0
+    for i in range(200):
+        total += (i * 13) % 17
+        assert got[i] == total
+    placed = sampling.positions(rows, [F.desc("deg"), F.asc("node_id")]).orderBy("pos").collect()
+    assert [r.pos for r in placed] == list(range(200))
+    assert [(r.deg, r.node_id) for r in placed] == sorted(((r.deg, r.node_id) for r in placed), key=lambda x: (-x[0], x[1]))
+
+
+def test_samples_never_exceed_what_there_is(spark):
+    few = spark.createDataFrame([(i, 1.0 if i else 0.0) for i in range(5)], "node_id long, h double")
+    assert sampling.uniform(few, 9).count() == 5
+    assert sorted(r.node_id for r in sampling.weighted(few, 9).collect()) == [1, 2, 3, 4]
+    edges = spark.createDataFrame([(0, 1), (0, 2), (1, 3)], "dst long, src long")
+    assert sampling.neighbours(edges, 5).count() == 3
+    assert sampling.neighbours_replaced(edges, 4).count() == 8
+
+
+def test_sources_and_stream(spark, tmp_path, features):
+    _, df = features
+    (tmp_path / "e.tsv").write_text("# a\n# b\n# c\n# d\n1\t2\n3\t4\n")
+    assert sorted(map(tuple, tables.read_edge_list(spark, str(tmp_path / "e.tsv")).collect())) == [(2, 1), (4, 3)]
+    tables.write_dataset({"features": df, "ids": df.select("node_id")}, str(tmp_path / "set"))
+    back = tables.read_dataset(spark, str(tmp_path / "set"), without=("ids",))
+    assert list(back) == ["features"] and back["features"].count() == 40
+    with pytest.raises(ValueError):
+        tables.check_schema(df, {"node_id": "int"})
+    assert tables.synthetic(spark, 20, 4, 42).where("size(feat) = 4 and label between 0 and 41").count() == 20
+    book = sq.codebook(df, 6)
+    source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "set" / "features.parquet"))
+    stream.write_codes(stream.encode_stream(source, book, 4), str(tmp_path / "codes"), str(tmp_path / "ck")).awaitTermination()
+    once = sorted(map(repr, spark.read.parquet(str(tmp_path / "codes")).collect()))
+    assert once == sorted(map(repr, sq.encode(df, book, 4).collect()))
+
+
+def test_attention_and_accuracy(spark):
+    scores = spark.createDataFrame([(0, 1, 900.0), (0, 2, 900.0), (1, 1, -5.0)], "dst long, src long, e double")
+    assert {(r.dst, r.src): r.a for r in model.edge_softmax(scores).collect()} == {(0, 1): 0.5, (0, 2): 0.5, (1, 1): 1.0}
+    y = spark.createDataFrame([(0, 0, 1.0), (0, 1, 1.0), (1, 0, 0.0), (1, 1, 2.0)], "node_id long, o int, y double")
+    assert {r.node_id: r.pred for r in model.predict(y).collect()} == {0: 0, 1: 1}
