@@ -9,7 +9,8 @@ targets, with no rate under ``least_rate`` (0 or more).
 The minimum is found by projected gradient steps that start from rates of 1. A step is
 ``rate_i <- max(least, rate_i - posterior_i . M^-1 residual)`` with ``M = sum_i tokens_i
 posterior_i posterior_i^T``, the gradient scaled by each document's tokens and by M; were no rate
-at its bound, the first step would reach the minimum. A document's rate is thus a function of its
+at its bound, the first step would reach the minimum. Later steps have momentum, which starts anew
+whenever the distance grows. A document's rate is thus a function of its
 posterior and of the steps' few numbers, and each step is one aggregation over all documents.
 
 Defined results: a null or empty text has no tokens, the prior as posterior, and a rate like any
@@ -76,13 +77,15 @@ def memberships(docs: DataFrame, model: tuple[list[str], list[float], DataFrame]
     return checkpoint(powers.select("doc_id", "n_tokens", F.transform("e", lambda x: x / total).alias("p")))
 
 
-def _rate(steps: list[np.ndarray], least: float) -> Column:
-    """The rate after the steps, as a function of the posterior p."""
+def _state(steps: list[tuple[np.ndarray, float]], least: float) -> Column:
+    """The struct (r, y) after the steps, as a function of the posterior p: the rate, and the point at which the next step is taken."""
+    start = max(1.0, least)
     if not steps:
-        return F.lit(max(1.0, least))
-    listed = ", ".join("array(" + ", ".join(f"{v!r}D" for v in s.tolist()) + ")" for s in steps)
-    dot = "aggregate(zip_with(p, g, (x, y) -> x * y), 0D, (a, x) -> a + x)"
-    return F.expr(f"aggregate(array({listed}), {max(1.0, least)!r}D, (r, g) -> greatest({least!r}D, r - {dot}))")
+        return F.struct(F.lit(start).alias("r"), F.lit(start).alias("y"))
+    listed = ", ".join("named_struct('g', array(" + ", ".join(f"{v!r}D" for v in g.tolist()) + f"), 'b', {b!r}D)" for g, b in steps)
+    dot = "aggregate(zip_with(p, s.g, (u, v) -> u * v), 0D, (c, u) -> c + u)"
+    to = f"greatest({least!r}D, z.y - {dot})"
+    return F.expr(f"aggregate(array({listed}), named_struct('r', {start!r}D, 'y', {start!r}D), (z, s) -> named_struct('r', {to}, 'y', (1D + s.b) * {to} - s.b * z.r))")
 
 
 def totals(members: DataFrame, k: int, rate: Column | None = None) -> np.ndarray:
@@ -103,14 +106,17 @@ def fit_rates(members: DataFrame, targets: np.ndarray, least_rate: float = 0.0)
         for j in range(i, k):
             m[i, j] = m[j, i] = float(next(found) or 0.0)
     inverse = np.linalg.pinv(m, rcond=1e-10, hermitian=True)
-    steps: list[np.ndarray] = []
+    steps: list[tuple[np.ndarray, float]] = []
+    worth, run = np.inf, -1
     for _ in range(STEPS):
-        residual = totals(members, k, _rate(steps, least_rate)) - targets
+        residual = totals(members, k, _state(steps, least_rate)["y"]) - targets
         step = inverse @ residual
         if np.abs(residual).max() <= CLOSE * max(targets.sum(), 1.0) or np.abs(step).max() < 1e-9:
             break
-        steps.append(step)
-    return members.withColumn("rate", F.round(_rate(steps, least_rate), 9))
+        run = 0 if residual @ step > worth else run + 1
+        worth = residual @ step
+        steps.append((step, run / (run + 3.0)))
+    return members.withColumn("rate", F.round(_state(steps, least_rate)["r"], 9))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", least_rate: float = 0.0, flatten: float = 0.0) -> DataFrame:
