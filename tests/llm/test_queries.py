@@ -1,6 +1,7 @@
 """The registered queries: DuckDB where SQL can express them, and the pipeline against its stages by hand."""
 
 import os
+import random
 
 import duckdb
 import pytest
@@ -35,9 +36,10 @@ def test_query_matches_sql(spark, data, db, name):
 
 def test_pipeline_stages_on_a_small_table(spark, tmp_path):
     """Toxic documents, texts in no language and all copies but one go; everything else reaches the tokens."""
-    clean = [(i, f"plain {' '.join(f'w{(i * 31 + j * 7) % 997}' for j in range(40))}.", "en", "a", 1) for i in range(0, 120)]
-    french = [(i, f"le texte {' '.join(f'mot{(i * 17 + j * 5) % 991}' for j in range(40))}.", "fr", "b", 1) for i in range(200, 240)]
-    toxic = [(i, f"you idiot {' '.join(f'w{(i * 13 + j * 11) % 997}' for j in range(40))}.", "en", "a", 1) for i in range(300, 360)]
+    words = lambda i, stem: " ".join(f"{stem}{random.Random(i * 100 + j).randrange(997)}" for j in range(40))
+    clean = [(i, f"plain {words(i, 'w')}.", "en", "a", 1) for i in range(0, 120)]
+    french = [(i, f"le texte {words(i, 'mot')}.", "fr", "b", 1) for i in range(200, 240)]
+    toxic = [(i, f"you idiot {words(i, 'w')}.", "en", "a", 1) for i in range(300, 360)]
     copies = [(400 + i, clean[3][1], "en", "c", 1) for i in range(30)]
     odd = [(500, None, "en", "c", 1), (501, "", None, "c", 1), (502, "123 456", "en", None, None)]
     rows = clean + french + toxic + copies + odd
