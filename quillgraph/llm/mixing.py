@@ -32,8 +32,10 @@ from quillgraph.llm.common import checkpoint, hash_unit
 LEARN_ROWS, VOCABULARY, DOMAINS = 3000, 4096, 64
 #: Words whose evidence a posterior takes at most, so that memberships of long texts stay soft.
 EVIDENCE = 3.0
-#: Steps at most, and the share of all tokens by which every total may miss its target.
-STEPS, CLOSE = 60, 1e-7
+#: Steps at most, steps whose outcome is kept as a formula before it is written, and the share of all tokens by which a total may miss its target.
+STEPS, HELD, CLOSE = 60, 8, 1e-6
+#: With a least rate, the targets' sum over the least that the rates can meet.
+ROOM = 1.05
 UNKNOWN = "unknown"
 
 
@@ -77,22 +79,20 @@ def memberships(docs: DataFrame, model: tuple[list[str], list[float], DataFrame]
     return checkpoint(powers.select("doc_id", "n_tokens", F.transform("e", lambda x: x / total).alias("p")))
 
 
-def _state(steps: list[tuple[np.ndarray, float]], least: float) -> Column:
-    """The struct (r, y) after the steps, as a function of the posterior p: the rate, and the point at which the next step is taken."""
-    start = max(1.0, least)
+def _after(steps: list[tuple[np.ndarray, float]], least: float) -> Column:
+    """The struct z (r, y) after the steps: the rate, and the point at which the next step is taken."""
     if not steps:
-        return F.struct(F.lit(start).alias("r"), F.lit(start).alias("y"))
+        return F.col("z")
     listed = ", ".join("named_struct('g', array(" + ", ".join(f"{v!r}D" for v in g.tolist()) + f"), 'b', {b!r}D)" for g, b in steps)
-    dot = "aggregate(zip_with(p, s.g, (u, v) -> u * v), 0D, (c, u) -> c + u)"
-    to = f"greatest({least!r}D, z.y - {dot})"
-    return F.expr(f"aggregate(array({listed}), named_struct('r', {start!r}D, 'y', {start!r}D), (z, s) -> named_struct('r', {to}, 'y', (1D + s.b) * {to} - s.b * z.r))")
+    dot = " + ".join(f"p[{i}] * s.g[{i}]" for i in range(len(steps[0][0])))
+    moved = f"transform(array(greatest({least!r}D, z.y - ({dot}))), r -> named_struct('r', r, 'y', (1D + s.b) * r - s.b * z.r))[0]"
+    return F.expr(f"aggregate(array({listed}), z, (z, s) -> {moved})")
 
 
 def totals(members: DataFrame, k: int, rate: Column | None = None) -> np.ndarray:
     """Expected tokens of the k domains at the rates."""
-    weight = F.col("n_tokens") * (F.lit(1.0) if rate is None else F.col("rate"))
-    rows = members if rate is None else members.withColumn("rate", rate)
-    found = rows.agg(*[F.sum(weight * F.element_at("p", i + 1)).alias(f"t{i}") for i in range(k)]).first()
+    rows = members.withColumn("_rate", F.lit(1.0) if rate is None else rate)
+    found = rows.agg(*[F.sum(F.col("n_tokens") * F.col("_rate") * F.element_at("p", i + 1)).alias(f"t{i}") for i in range(k)]).first()
     return np.array([float(x or 0.0) for x in found])
 
 
@@ -106,17 +106,21 @@ def fit_rates(members: DataFrame, targets: np.ndarray, least_rate: float = 0.0)
         for j in range(i, k):
             m[i, j] = m[j, i] = float(next(found) or 0.0)
     inverse = np.linalg.pinv(m, rcond=1e-10, hermitian=True)
+    start = F.lit(max(1.0, least_rate))
+    rows = members.withColumn("z", F.struct(start.alias("r"), start.alias("y")))
     steps: list[tuple[np.ndarray, float]] = []
     worth, run = np.inf, -1
     for _ in range(STEPS):
-        residual = totals(members, k, _state(steps, least_rate)["y"]) - targets
+        residual = totals(rows, k, _after(steps, least_rate)["y"]) - targets
         step = inverse @ residual
         if np.abs(residual).max() <= CLOSE * max(targets.sum(), 1.0) or np.abs(step).max() < 1e-9:
             break
         run = 0 if residual @ step > worth else run + 1
         worth = residual @ step
         steps.append((step, run / (run + 3.0)))
-    return members.withColumn("rate", F.round(_state(steps, least_rate)["r"], 9))
+        if len(steps) == HELD:
+            rows, steps = checkpoint(rows.withColumn("z", _after(steps, least_rate))), []
+    return rows.withColumn("rate", F.round(_after(steps, least_rate)["r"], 9)).drop("z")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", least_rate: float = 0.0, flatten: float = 0.0) -> DataFrame:
@@ -124,7 +128,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
 
     ``weights`` are the domains' target shares of all tokens; without them the shares found are
     raised to the power ``flatten`` (0: equal shares). The targets add up to the tokens found or,
-    with a ``least_rate``, to the least number from which no domain's share is below what it has.
+    with a ``least_rate``, to ``ROOM`` times the least number from which no domain's share is below what it has.
     """
     model = classifier(docs, id_col, text_col, domain_col)
     domains = model[0]
@@ -137,7 +141,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     share = wish / wish.sum() if wish.sum() > 0 else wish
     total = now.sum()
     if least_rate > 0 and (share > 0).any():
-        total = max(total, float((least_rate * now[share > 0] / share[share > 0]).max()))
+        total = max(total, ROOM * float((least_rate * now[share > 0] / share[share > 0]).max()))
     rated = fit_rates(members, share * total, least_rate)
     best = F.array_position("p", F.array_max("p")).cast("int")
     named = F.element_at(F.array(*[F.lit(d) for d in domains]), best)
