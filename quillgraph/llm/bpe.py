@@ -36,7 +36,7 @@ LONG = 200
 #: Bytes of words that one recursive query takes.
 CHUNK_BYTES = 300_000
 #: Distinct pieces (words with what is glued to them) that a worker keeps; beyond it, those met once or twice are forgotten.
-KEEP_PIECES = 150_000
+KEEP_PIECES = 400_000
 
 #: A row is a token with its successor: word, place, place and id of the next token. A pair's key packs rank, place and the next token's place, so that the least key is the leftmost pair of the least rank. The pair's second row becomes the merged token, which leaves the successor as it is.
 CONTRACT = """
