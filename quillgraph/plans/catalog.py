@@ -29,7 +29,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def put(query: Query) -> Query:
         _QUERIES[name] = query
         if sql is not None:
-            _SQL[name] = sql
+            _SQL[name] = sql.replace("round(", "0::DOUBLE + round(")  # no negative zero, as in Spark
         return query
 
     return put
@@ -311,11 +311,11 @@ PLANS = [(64, 32, 8, 128, 1, False), (64, 32, 32, 128, 2, False), (128, 32, 128,
 
 @register(
     "twolevel_plan",
-    """SELECT * FROM (VALUES (0, 0, 'sq', 64, 4, NULL::INTEGER, 32), (1, 0, 'sq', 32, 1, NULL, 8), (2, 0, 'sq', 128, 4, NULL, 64), (2, 1, 'vq', 32, NULL, 256, 4),
-(3, 0, 'sq', 96, 2, NULL, 192), (3, 1, 'vq', 128, NULL, 512, 12), (4, 0, 'sq', 40, 4, NULL, 50), (4, 1, 'sq', 40, 8, NULL, 100)) AS t(plan, level, method, column_slice, bits, n_clusters, row_bytes)""",
+    """SELECT * FROM (VALUES (0, 0, 'sq', 64, 4, 0, 32), (1, 0, 'sq', 32, 1, 0, 8), (2, 0, 'sq', 128, 4, 0, 64), (2, 1, 'vq', 32, 0, 256, 4),
+(3, 0, 'sq', 96, 2, 0, 192), (3, 1, 'vq', 128, 0, 512, 12), (4, 0, 'sq', 40, 4, 0, 50), (4, 1, 'sq', 40, 8, 0, 100)) AS t(plan, level, method, column_slice, bits, n_clusters, row_bytes)""",
 )
 def _plan(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(i, x.level, x.method, x.column_slice, x.bits, x.n_clusters, planning.compressed_bytes(p[0], x)) for i, p in enumerate(PLANS) for x in planning.plan_codec(*p)]
+    rows = [(i, x.level, x.method, x.column_slice, x.bits or 0, x.n_clusters or 0, planning.compressed_bytes(p[0], x)) for i, p in enumerate(PLANS) for x in planning.plan_codec(*p)]
     return spark.createDataFrame(rows, "plan int, level int, method string, column_slice int, bits int, n_clusters int, row_bytes int")
 
 
