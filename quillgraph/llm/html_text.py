@@ -19,6 +19,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -141,6 +142,8 @@ def parse(page: str) -> list[Node]:
 
 
 NUMBERS = 19
+#: Blocks in the main part of the long pages that are trained on besides the others.
+LONG_PAGES = (64, 80, 96, 120, 150, 180, 220, 300) * 2
 WIDTH = NUMBERS + 2 * len(TAGS) + 2 * TOKENS
 
 
@@ -168,11 +171,15 @@ def features(nodes: list[Node]) -> np.ndarray:
         starts[i] = before
         if x.tag == TEXT:
             before += chars[i]
+    places, same_tags = [0] * n, [1] * n
+    for x in nodes:
+        kinds = Counter(nodes[s].tag for s in x.children)
+        for place, s in enumerate(x.children):
+            places[s], same_tags[s] = place, kinds[nodes[s].tag]
     for i, x in enumerate(nodes):
         p = x.parent
         siblings = nodes[p].children if p >= 0 else [0]
-        place = siblings.index(i) if len(siblings) < 64 else 0
-        same = sum(nodes[s].tag == x.tag for s in siblings[:64])
+        place, same = places[i], same_tags[i]
         prev, nxt = (siblings[place - 1] if place else -1), (siblings[place + 1] if place + 1 < len(siblings) else -1)
         log = math.log1p
         c, up = chars[i], chars[p] if p >= 0 else whole
@@ -338,9 +345,10 @@ class _Page:
         r.shuffle(out) if where != "bottom" else None
         return "".join(out)
 
-    def whole(self) -> str:
+    def whole(self, blocks: int | None = None) -> str:
+        """The page; its main part has ``blocks`` blocks, or a few as dealt by chance."""
         r = self.r
-        main = (f"<h1>{self.words(2, 12)}</h1>" if r.random() < 0.85 else "") + "".join(self.prose() for _ in range(r.choice([1, 2, 4, 8, 16, 30])))
+        main = (f"<h1>{self.words(2, 12)}</h1>" if r.random() < 0.85 else "") + "".join(self.prose() for _ in range(blocks or r.choice([1, 2, 4, 8, 16, 30])))
         main = f"<i data-main>{main}<i data-end>"
         if r.random() < 0.25:  # boilerplate inside of the article
             main = main.replace("</p>", f"</p><i data-end>{self.extras('in')}<i data-main>", 1)
@@ -359,9 +367,9 @@ class _Page:
         return f"<!DOCTYPE html><html><head><title>{self.words(1, 9)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>{body}</body></html>"
 
 
-def labelled_page(seed: int) -> tuple[list[Node], np.ndarray]:
+def labelled_page(seed: int, blocks: int | None = None) -> tuple[list[Node], np.ndarray]:
     """A generated page's nodes and whether each holds main text."""
-    page = _Page(seed).whole()
+    page = _Page(seed).whole(blocks)
     open_mark, end_mark = "\ue000", "\ue001"
     nodes = parse(page.replace("<i data-main>", open_mark).replace("<i data-end>", end_mark))
     inside, labels = False, np.zeros(len(nodes), dtype=bool)
@@ -390,6 +398,7 @@ def _without_empty(nodes: list[Node], labels: np.ndarray) -> tuple[list[Node], n
 def train(pages: int = 400, seed: int = 1000) -> Trees:
     """Trees from generated pages; each page weighs the same."""
     found = [labelled_page(seed + i) for i in range(pages)]
+    found += [labelled_page(seed + pages + i, blocks) for i, blocks in enumerate(LONG_PAGES)]
     x = np.concatenate([features(n) for n, _ in found])
     y = np.concatenate([v for _, v in found]).astype(np.float64)
     weight = np.concatenate([np.full(len(v), 40.0 / len(v)) for _, v in found])

@@ -307,6 +307,33 @@ def test_generated_pages_held_out():
     assert exact >= 45
 
 
+def test_features_of_many_siblings():
+    """Place, neighbours and share of equal tags are right for every child, however many there are."""
+    for n in (63, 64, 65, 300):
+        nodes = html_text.parse("<div>" + "".join(f"<p>{'w' * (k % 7 + 1)}</p>" if k % 3 else f"<h2>{'w' * (k % 7 + 1)}</h2>" for k in range(n)) + "</div>")
+        children = next(x.children for x in nodes if x.tag == "div")
+        got = html_text.features(nodes)[children]
+        log = np.log1p([k % 7 + 1 for k in range(n)])
+        headings = (n + 2) // 3
+        assert len(children) == n and got[:, 9].tolist() == list(range(n)) and (got[:, 10] == n).all()
+        assert np.allclose(got[:, 11], [(n - headings if k % 3 else headings) / n for k in range(n)])
+        assert np.allclose(got[:, 15], [-1, *log[:-1]]) and np.allclose(got[:, 16], [*log[1:], -1])
+
+
+def test_long_generated_pages_held_out():
+    model = html_text.train(pages=200)
+    kept = wrong = total = 0
+    for seed, blocks in zip(range(91_000, 91_016), (64, 100, 185, 400) * 4):
+        nodes, labels = html_text.labelled_page(seed, blocks)
+        want = {i for i, (n, y) in enumerate(zip(nodes, labels, strict=True)) if y and n.tag == html_text.TEXT}
+        margins = model.margins(html_text.features(nodes))
+        for i, n in enumerate(nodes):
+            n.text = n.text and f"{i}"
+        got = {int(t) for t in html_text.decode(nodes, margins).split()}
+        kept, wrong, total = kept + len(want & got), wrong + len(got - want), total + len(want)
+    assert kept >= 0.97 * total and wrong <= 0.01 * total
+
+
 def test_page_text_of_odd_pages(spark, data):
     pages = table(spark, data, "pages").limit(5).union(spark.createDataFrame([(900, None, None), (901, "u", ""), (901, "u", ""), (902, None, "<p>a <b"), (903, "", "<table><tr><td>&lt;x&gt; &nbsp; y</table></div></p>" * 40)], "page_id long, url string, html string"))
     rows = {r.page_id: r for r in html_text.extract(pages.withColumn("text", F.lit("clash"))).collect()}
