@@ -12,7 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, gif, html_text, langid, mixing, mtree, queries, sharding, simhash, toxicity, url_filter
+from quillgraph.llm import bpe, gif, html_text, langid, mixing, mtree, near, queries, sharding, simhash, toxicity, url_filter
 from quillgraph.llm.common import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, held_out string, score string, fp string, row string, node string, t string, word string, component_id string"
@@ -43,6 +43,47 @@ def key(i):
     return -1 if i is None else i
 
 
+# Near-duplicates by Jaccard similarity
+
+
+def word_shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_near_copies_of_jaccard_one_half_to_one_match_brute_force(spark):
+    """Planted near copies, most of 0.8 to 0.95, a group of copies in which members link only through others, and a common line."""
+    r = np.random.default_rng(7)
+    line = " ".join(f"line{i}" for i in range(40))
+    texts = []
+    for k in range(60):
+        words = [f"w{x}" for x in r.integers(0, 5000, r.integers(6, 300))]
+        texts.append(" ".join(words))
+        for _ in range(2):
+            for at in r.integers(0, len(words), max(1, int(len(words) * r.choice([0.004, 0.01, 0.02, 0.04])))):
+                words[at] = f"n{r.integers(1 << 40)}"
+            texts.append(" ".join(words))
+    chain = [f"c{i}" for i in range(200)]
+    for i in range(60):  # neighbours are near, the ends are not
+        chain[3 * i : 3 * i + 3] = [f"d{i}"] * 3
+        texts.append(" ".join(chain))
+    texts += [f"{line} {' '.join(f'own{i}x{j}' for j in range(n))}" for i in range(40) for n in (2, 6, 30)]
+    texts += ["", None, "one two", "one two", "one two three", texts[0], texts[0]]
+    sets = [word_shingles(t) for t in texts]
+    similar = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(sets)) for j in range(i)}
+    assert sum(0.8 <= s < 0.95 for s in similar.values()) > 40
+    want = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for (i, j), s in similar.items():
+            if s >= 0.8 and want[i] != want[j]:
+                want[i] = want[j] = min(want[i], want[j])
+                changed = True
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in near.near_duplicates(df).collect()} == dict(enumerate(want))
+
+
 # SimHash
 
 
