@@ -61,3 +61,13 @@ def test_pipeline_stages_on_a_small_table(spark, tmp_path):
     assert sorted(kept["simhash_near_dedup"]) == sorted(ids(clean + french))
     assert set(kept["mixing"]) == ids(clean + french) and len(kept["mixing"]) > len(clean + french)
     assert sorted(kept["bpe"]) == sorted(kept["mixing"])
+
+
+def test_near_dedup_keeps_rows_that_share_an_id_but_no_text(spark):
+    words = lambda stem: " ".join(f"{stem}{j}" for j in range(50))
+    rows = [(1, words("a"), "en"), (1, words("b"), "en"), (1, words("b"), "fr"), (1, words("b") + " x", "en"), (2, words("a"), "en"), (2, words("c"), "en"), (None, words("a"), "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {tuple(sorted(((r.doc_id, r.text, r.lang) for r in corpus_pipeline.drop_near_duplicates(spark, docs.repartition(n), "").collect()), key=repr)) for n in (1, 4)}
+    assert len(seen) == 1
+    got = list(seen.pop())
+    assert len(got) == 4 and {rows[0], rows[5], rows[6]} < set(got) and sum(t.startswith("b0") for _, t, _ in got) == 1
