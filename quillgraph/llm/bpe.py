@@ -6,11 +6,13 @@ table and contracts each word's leftmost pair of the least rank, until no word h
 Decoding is an ordered aggregation of the tokens' bytes by position. Documents are then put
 together from their words' ids and bytes.
 
-Words longer than ``LONG`` bytes, whose contraction would take as many rounds as they have
-bytes, are contracted by the same rule with a heap.
+A recursion keeps the rows of all its rounds, so words are dealt to queries by the rows that they
+may make, and ``QUERY_ROWS`` bounds a query's memory whatever the words. A word of L bytes may make
+L * L / 2 rows; words longer than ``LONG`` bytes, of which none would fit, are contracted by the
+same rule with a heap and decoded by the same aggregation.
 
 Defined results: a null or empty text has no ids and no bytes. Repeated rows are all returned.
-Special tokens are never made; their text is ordinary text.
+Special tokens are never made; their text is ordinary text. Columns besides id and text are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import hashlib
 import heapq
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, islice
 
 import duckdb
 import numpy as np
@@ -31,12 +33,14 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import bound_batches
 
-#: Bytes of the longest word that the recursive query contracts.
-LONG = 200
-#: Bytes of words that one recursive query takes.
-CHUNK_BYTES = 300_000
-#: Distinct pieces (words with what is glued to them) that a worker keeps; beyond it, those met once or twice are forgotten.
-KEEP_PIECES = 400_000
+#: Rows that one recursive query may make over all its rounds, at most; with about 40 bytes a row, a third of the memory limit.
+QUERY_ROWS = 2_500_000
+#: Bytes of the longest word that the recursive query contracts; the rows of a longer one do not fit.
+LONG = 2048
+#: Distinct words that a worker keeps; beyond it, those met once or twice are forgotten.
+KEEP_WORDS = 400_000
+#: Characters of a text whose words are held at once.
+HOLD = 1 << 20
 
 #: A row is a token with its successor: word, place, place and id of the next token. A pair's key packs rank, place and the next token's place, so that the least key is the leftmost pair of the least rank. The pair's second row becomes the merged token, which leaves the successor as it is.
 CONTRACT = """
@@ -61,8 +65,12 @@ WITH RECURSIVE whole AS MATERIALIZED (
   UNION ALL
   SELECT w, 0, id FROM whole
 )
-SELECT last.w AS w, list(last.id ORDER BY last.g) AS ids, string_agg(vocabulary.digits, '' ORDER BY last.g) AS decoded
-FROM last JOIN vocabulary ON last.id = vocabulary.id GROUP BY last.w ORDER BY last.w
+SELECT w, g, id FROM last ORDER BY w, g
+"""
+#: The bytes of each word's tokens, by place.
+DECODE = """
+SELECT tokens.w AS w, string_agg(vocabulary.digits, '' ORDER BY tokens.g) AS decoded
+FROM tokens JOIN vocabulary ON tokens.id = vocabulary.id GROUP BY tokens.w ORDER BY tokens.w
 """
 
 
@@ -77,51 +85,45 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
-        self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.byte_rank = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         pairs = [((ranks[token[:i]] << 32) | ranks[token[i:]], rank) for token, rank in ranks.items() for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
-        self.db.register("given", pa.table({"pair": [p for p, _ in pairs], "id": pa.array([r for _, r in pairs], pa.int32())}))
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
-        self.db.unregister("given")
-        self.db.register("given", pa.table({"piece": pa.array(list(ranks), pa.binary()), "id": pa.array(list(ranks.values()), pa.int32()), "digits": [t.hex() for t in ranks]}))
-        self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
+        self._table("merges", {"pair": [p for p, _ in pairs], "id": pa.array([r for _, r in pairs], pa.int32())})
+        self._table("vocabulary", {"piece": pa.array(list(ranks), pa.binary()), "id": pa.array(list(ranks.values()), pa.int32()), "digits": [t.hex() for t in ranks]})
+        self._start()
+
+    def _table(self, name: str, columns: dict) -> None:
+        self.db.register("given", pa.table(columns))
+        self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
-        self.untidy = regex.compile(r"\p{White_Space} | \p{White_Space}|^ | $").search
-        self.met, self.ids, self.decoded = 0, [], []
-        self.forget()
-
-    def forget(self) -> None:
-        """Keep the pieces met most often and forget the others, so that memory stays bounded."""
-        kept = [p for p, c in self.codes.items() if c < self.uses.size and self.uses[c] > 2][: KEEP_PIECES // 2] if self.met else []
-        old = [self.codes[p] for p in kept]
-        self.ids, self.decoded = [self.ids[c] for c in old], [self.decoded[c] for c in old]
-        self.codes = defaultdict(count(len(kept)).__next__, zip(kept, range(len(kept)), strict=True))
-        self.met, self.uses = len(kept), np.ones(len(kept), dtype=np.int64)
-
-    def pieces(self, text: str) -> list[str]:
-        """Cut a text before each single space between other characters; no match of the pattern crosses such a cut."""
-        parts = text.split(" ")
-        if len(parts) > 1 and self.untidy(text) is None:
-            return [parts[0], *[" " + p for p in parts[1:]]]
-        out, clean = [parts[0]], parts[0] != "" and not parts[0][-1].isspace()
-        for p in parts[1:]:
-            if clean and p and not p[0].isspace():
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
-            clean = p != "" and not p[-1].isspace()
-        return out
+
+    def _start(self, words: dict[str, int] | None = None) -> None:
+        """Keep the given words with their codes and forget the others."""
+        old = list((words or {}).values())
+        self.ids, self.decoded = ([self.ids[c] for c in old], [self.decoded[c] for c in old]) if old else ([], [])
+        self.codes = defaultdict(count(len(old)).__next__, zip(words or (), range(len(old))))
+        self.uses = np.ones(len(old), dtype=np.int64)
+
+    def words(self, text: str) -> Iterator[list[str]]:
+        """The matches of the pattern, in lists of bounded size."""
+        if len(text) <= HOLD:
+            yield self.split.findall(text)
+            return
+        matches = self.split.finditer(text)
+        while some := [m[0] for m in islice(matches, HOLD // 4)]:
+            yield some
 
     def texts(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bytes]]:
         """The ids and the decoded bytes of every text."""
-        if len(self.codes) > KEEP_PIECES:
-            self.forget()
-        coded = []
-        for text in texts:
-            own = self.pieces(text)
-            coded.append(np.fromiter(map(self.codes.__getitem__, own), np.int32, len(own)))
-        self._learn()
+        if len(self.codes) > KEEP_WORDS:  # those met most often stay, so that memory stays bounded
+            self._start({w: c for w, c in islice(self.codes.items(), self.uses.size) if self.uses[c] > 2} if (self.uses > 2).sum() <= KEEP_WORDS // 2 else None)
+        try:
+            coded = [np.concatenate([np.zeros(0, np.int32), *(np.fromiter(map(self.codes.__getitem__, own), np.int32, len(own)) for own in self.words(text))]) for text in texts]
+            self._learn()
+        except BaseException:
+            self._start()
+            raise
         uses = np.bincount(np.concatenate(coded), minlength=len(self.codes)) if coded else np.zeros(len(self.codes), np.int64)
         uses[: self.uses.size] += self.uses
         self.uses = uses
@@ -131,37 +133,25 @@ class Encoder:
             yield (np.frombuffer(b"".join([ids[c] for c in own]), dtype="<u4"), b"".join([decoded[c] for c in own]))
 
     def _learn(self) -> None:
-        """Ids and bytes for the pieces that are new: each distinct word of them is contracted once."""
-        fresh = [p for p, c in self.codes.items() if c >= self.met]
-        split = [self.split(p) for p in fresh]
-        known = {w: (self.ids[c], self.decoded[c]) for words in split if len(words) > 1 for w in words if (c := self.codes.get(w, self.met)) < self.met}
-        missing = sorted({w for words in split for w in words if w not in known}, key=len)
-        self.met = len(self.codes)
-        words = [w.encode() for w in missing]
-        short = sum(len(w) <= LONG for w in words)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        """Ids and bytes for the words that are new; each is contracted once."""
+        met = len(self.ids)
+        words = [w.encode() for w in islice(self.codes, met, None)]
+        lengths = np.array([len(w) for w in words], dtype=np.int64)
+        order = np.argsort(lengths, kind="stable")
+        short = int((lengths <= LONG).sum())
+        rows = np.cumsum(lengths[order] * (lengths[order] + 1) // 2 + 1)
+        self.ids += [b""] * len(words)
+        self.decoded += [b""] * len(words)
         at = 0
-        while at < short:
-            to, size = at, 0
-            while to < short and size < CHUNK_BYTES:
-                size += len(words[order[to]])
-                to += 1
-            for i, *both in zip(order[at:to], *self._contract([words[i] for i in order[at:to]]), strict=True):
-                known[missing[i]] = tuple(both)
+        while at < len(words):
+            to = max(at + 1, int(np.searchsorted(rows[:short], (rows[at - 1] if at else 0) + QUERY_ROWS, side="right"))) if at < short else at + 1
+            own = [words[i] for i in order[at:to].tolist()]
+            for i, ids, decoded in zip(order[at:to].tolist(), *self._decoded(self._contract(own) if at < short else self._heap(own[0])), strict=True):
+                self.ids[met + i], self.decoded[met + i] = ids, decoded
             at = to
-        tokens = {r: t for t, r in self.ranks.items()} if short < len(words) else {}
-        for i in order[short:]:
-            ids = self._heap(words[i])
-            known[missing[i]] = (np.array(ids, "<u4").tobytes(), b"".join(tokens[x] for x in ids))
-        for own in split:
-            if len(own) == 1:
-                ids, decoded = known[own[0]]
-            else:
-                ids, decoded = b"".join([known[w][0] for w in own]), b"".join([known[w][1] for w in own])
-            self.ids.append(ids)
-            self.decoded.append(decoded)
-
-    def _contract(self, words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+
+    def _contract(self, words: list[bytes]) -> pa.Table:
+        """The tokens (w, g, id) of each word, in order."""
         lengths = np.array([len(w) for w in words], dtype=np.int64)
         w = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         flat = np.frombuffer(b"".join(words), dtype=np.uint8)
@@ -171,18 +161,27 @@ class Encoder:
         following[np.cumsum(lengths) - 1] = 1 << 30  # no token: a word's last has no pair
         self.db.register("start", pa.table({"w": w, "g": g, "n": g + 1, "id": ids, "nid": following.astype(np.int32)}))
         self.db.register("words", pa.table({"w": np.arange(len(words), dtype=np.int32), "piece": pa.array(words, pa.binary())}))
-        out = self.db.sql(CONTRACT).to_arrow_table().combine_chunks()
-        self.db.unregister("start")
-        self.db.unregister("words")
-        lists = out.column("ids").combine_chunks()
-        packed = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-        cuts = (np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))) * 4).tolist()
+        try:
+            return self.db.sql(CONTRACT).to_arrow_table()
+        finally:
+            self.db.unregister("start")
+            self.db.unregister("words")
+
+    def _decoded(self, tokens: pa.Table) -> tuple[list[bytes], list[bytes]]:
+        """The ids and the bytes of each word."""
+        self.db.register("tokens", tokens)
+        try:
+            out = self.db.sql(DECODE).to_arrow_table().combine_chunks()
+        finally:
+            self.db.unregister("tokens")
+        packed = tokens.column("id").to_numpy().astype("<u4").tobytes()
+        cuts = np.concatenate(([0], np.cumsum(np.bincount(tokens.column("w").to_numpy(), minlength=out.num_rows)) * 4)).tolist()
         return [packed[a:b] for a, b in zip(cuts, cuts[1:])], [bytes.fromhex(x) for x in out.column("decoded").to_pylist()]
 
-    def _heap(self, word: bytes) -> list[int]:
+    def _heap(self, word: bytes) -> pa.Table:
         """The same contraction for a long word: neighbours linked both ways, pairs in a heap by rank and place."""
         if word in self.ranks:
-            return [self.ranks[word]]
+            return pa.table({"w": [0], "g": [0], "id": [self.ranks[word]]})
         size = len(word)
         ends, before, alive = list(range(1, size + 1)), list(range(-1, size - 1)), [True] * size
         heap = [(self.ranks[word[i : i + 2]], i, i + 2) for i in range(size - 1) if word[i : i + 2] in self.ranks]
@@ -199,7 +198,8 @@ class Encoder:
                     heapq.heappush(heap, (r, i, ends[to]))
             if (p := before[i]) >= 0 and (r := self.ranks.get(word[p:to])) is not None:
                 heapq.heappush(heap, (r, p, to))
-        return [self.ranks[word[i : ends[i]]] for i in range(size) if alive[i]]
+        starts = [i for i in range(size) if alive[i]]
+        return pa.table({"w": np.zeros(len(starts), np.int32), "g": starts, "id": pa.array([self.ranks[word[i : ends[i]]] for i in starts], pa.int32())})
 
 
 _kept: dict[tuple[int, str], Encoder] = {}

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import struct
 import zlib
 
@@ -169,6 +170,34 @@ def test_tokens_match_the_library(odd, spark):
     assert got == sorted(want)
 
 
+@pytest.fixture(scope="module")
+def encoder():
+    return bpe.Encoder(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
+def test_many_long_words_match_the_library(encoder):
+    """Thousands of distinct words of 100 to 200 bytes, some of 2,000 and more, and one text of several pieces."""
+    r = random.Random(5)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=encoder.ranks, special_tokens={})
+    letters = ["abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x0E01, 0x0E2F))), "".join(map(chr, range(0x4E00, 0x5200)))]
+    word = lambda kind, size: "".join(r.choice(letters[kind]) for _ in range(size))
+    texts = [" ".join(word(0, r.randint(100, 200)) for _ in range(5000)), " ".join(word(1, 60) for _ in range(1600)), " ".join(word(2, 66) for _ in range(1600))]
+    texts += [" ".join(word(0, n) for n in (bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 9000)), "a" * 1999 + " " + "!" * 40_000, "plain words " * 100_000]
+    for text, (ids, decoded) in zip(texts, encoder.texts(texts), strict=True):
+        assert ids.tolist() == library.encode_ordinary(text) and decoded == text.encode()
+
+
+def test_a_failed_batch_leaves_the_encoder_sound(encoder):
+    contract, bpe.CONTRACT = bpe.CONTRACT, "SELECT broken"
+    try:
+        with pytest.raises(Exception, match="broken"):
+            list(encoder.texts(["words never met before: qzxv jkwq"]))
+    finally:
+        bpe.CONTRACT = contract
+    ids, decoded = next(encoder.texts(["words never met before: qzxv jkwq, and more"]))
+    assert decoded == b"words never met before: qzxv jkwq, and more" and ids.size > 9
+
+
 # GIF
 
 
