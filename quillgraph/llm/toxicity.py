@@ -6,14 +6,16 @@ A text's terms are its lower-cased words and their beginnings of four to six let
     w0 + sum_i w_i + 1/2 sum_f ((sum_i v_if)^2 - sum_i v_if^2),
 
 so a pair of terms, such as an insult with a group's name, may count where neither does alone.
-It is fitted by AdaGrad on at most ``LEARN_ROWS`` labelled rows, chosen by the hash of their ids;
-terms in fewer than ``LEAST_ROWS`` of them,
-or whose occurrence is not related to the label, carry no weight.
+It is learned on at most ``LEARN_ROWS`` labelled rows, chosen by the hash of their ids, of at most
+``LEARN_BYTES`` bytes together, in three steps. Dual averaging with an L1 term that grows with a
+term's own noise gives sparse linear weights. Pairs of terms are then tested on what is left of the
+error: any two that meet in enough rows, whether or not either has a weight. The leading
+directions of the pairs found start the factors, and AdaGrad fits all weights and factors together.
 
 Defined results: a null or empty text has no terms and scores as w0 alone. Without labelled rows
 of both classes every score is the share of toxic ones, or 0 without any. Of several labels for a
-document the largest counts, of several texts the smallest is learned from. Repeated rows are all
-scored.
+document the largest counts, of several texts the smallest is learned from; copies of a text are
+learned from once, with their largest label. Repeated rows are all scored. Columns besides id, text and label are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +35,14 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import Carried, bound_batches, held_out
 
-#: Labelled rows to learn from, at most.
-LEARN_ROWS = 8000
+#: Labelled rows to learn from, and bytes of their texts, at most.
+LEARN_ROWS, LEARN_BYTES = 8000, 64 << 20
 #: Rows of the learned sample in which a term must occur.
 LEAST_ROWS = 3
-#: Least chi-square of a term's occurrence against the label (one degree of freedom).
-LEAST_CHI2 = 15.0
+#: Standard errors that a term's mean gradient must exceed, and that a pair's joint error must differ by from what its terms explain.
+LEAST_Z, LEAST_PAIR_Z = 3.5, 9.0
+#: Share of the squared error that the rows hold in which pairs are looked for, and columns of terms that are compared at once.
+ENERGY, BLOCK = 0.9, 2048
 BUCKETS = 1 << 18
 FACTORS = 4
 #: Distinct pieces of text whose terms a worker keeps.
@@ -94,46 +98,156 @@ class Machine:
         return 1.0 / (1.0 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, least_steps: int = 2000, epochs: int = 12, batch: int = 64, rate: float = 0.1, l2: float = 1e-4, seed: int = 17) -> Machine:
-    """Fit by AdaGrad over mini-batches; the same rows in the same order give the same machine."""
+def _logistic(raw: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(raw, -30, 30)))
+
+
+class Rows:
+    """Rows of term numbers, flat."""
+
+    def __init__(self, rows: list[np.ndarray], terms: int) -> None:
+        self.rows, self.terms = rows, terms
+        self.sizes = np.array([r.size for r in rows], dtype=np.int64)
+        self.idx = np.concatenate([np.zeros(0, np.int64), *rows])
+        self.row = np.repeat(np.arange(len(rows)), self.sizes)
+        self.seen = np.bincount(self.idx, minlength=terms)
+
+    def to_terms(self, values: np.ndarray) -> np.ndarray:
+        """Sums of the rows' values over each term's rows."""
+        return np.bincount(self.idx, values[self.row], minlength=self.terms)
+
+    def to_rows(self, values: np.ndarray) -> np.ndarray:
+        """Sums of the terms' values over each row's terms."""
+        return np.bincount(self.row, values[self.idx], minlength=len(self.rows))
+
+    def only(self, terms: np.ndarray) -> Rows:
+        """The rows with these terms alone, numbered anew."""
+        place = np.full(self.terms, -1)
+        place[terms] = np.arange(terms.size)
+        moved = [place[r] for r in self.rows]
+        return Rows([m[m >= 0] for m in moved], terms.size)
+
+    def part(self, pick: np.ndarray) -> Rows:
+        """Some of the rows."""
+        return Rows([self.rows[i] for i in pick], self.terms)
+
+
+def _linear(rows: Rows, labels: np.ndarray, weight: np.ndarray, rng: np.random.Generator, epochs: int = 10, batch: int = 128, rate: float = 0.1) -> tuple[float, np.ndarray]:
+    """The constant and sparse weights by dual averaging: a term whose mean gradient is within its noise has none."""
+    share = float((weight * labels).sum() / weight.sum())
+    noise = LEAST_Z * np.sqrt(rows.seen * (weight**2).mean() * share * (1 - share)) / labels.size
+    sums, squares, w = np.zeros(rows.terms), np.full(rows.terms, 1e-3), np.zeros(rows.terms)
+    w0, g0, step = math.log(share / (1 - share)), 1e-3, 0
+    for _ in range(epochs):
+        order = rng.permutation(labels.size)
+        for at in range(0, order.size, batch):
+            pick = order[at : at + batch]
+            own = rows.part(pick)
+            error = weight[pick] * (_logistic(w0 + own.to_rows(w)) - labels[pick])
+            g, step = own.to_terms(error) / pick.size, step + 1
+            sums += g
+            squares += g * g
+            w = -rate * step / np.sqrt(squares) * np.sign(sums) * np.maximum(np.abs(sums) / step - noise, 0)
+            d0 = float(error.mean())
+            g0 += d0 * d0
+            w0 -= rate * d0 / math.sqrt(g0)
+    return w0, w
+
+
+def _pairs(rows: Rows, error: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of terms (i, j, strength) in whose common rows the error differs from what either alone has.
+
+    A sum of n numbers is at most sqrt(n) times the root of the sum of their squares, so terms in
+    fewer than ``LEAST_PAIR_Z`` squared rows have no such pair. Terms in the same rows are taken once.
+    """
+    by = np.argsort(-np.abs(error), kind="stable")
+    energy = np.cumsum(error[by] ** 2)
+    by = np.sort(by[: int(np.searchsorted(energy, ENERGY * energy[-1])) + 1])
+    rows, error = rows.part(by), error[by]
+    often = np.flatnonzero(rows.seen >= LEAST_PAIR_Z**2)
+    marks = rows.to_terms(np.random.default_rng(0).random(by.size))  # terms in the same rows have the same mark
+    cols = often[np.unique(np.round(marks[often], 6), return_index=True)[1]]
+    kept = rows.only(cols)
+    own = kept.to_terms(error) / np.maximum(kept.seen, 1)
+
+    def dense(at: int) -> np.ndarray:
+        x = np.zeros((by.size, min(BLOCK, cols.size - at)), np.float32)
+        inside = (kept.idx >= at) & (kept.idx < at + BLOCK)
+        x[kept.row[inside], kept.idx[inside] - at] = 1
+        return x
+
+    found, e = [], error.astype(np.float32)[:, None]
+    for a in range(0, cols.size, BLOCK):
+        left = dense(a)
+        for b in range(a, cols.size, BLOCK):
+            right = left if a == b else dense(b)
+            apart = (left * e).T @ right - (left.T @ right) * (own[a : a + BLOCK, None] + own[None, b : b + BLOCK] - error.mean())
+            i, j = np.nonzero(np.abs(apart) >= LEAST_PAIR_Z * np.sqrt((left * e * e).T @ right + 1e-3))
+            strength = apart[i, j] / np.sqrt(kept.seen[i + a] * kept.seen[j + b])
+            found += [(cols[i[i + a < j + b] + a], cols[j[i + a < j + b] + b], strength[i + a < j + b])]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _factors(rows: Rows, error: np.ndarray, rng: np.random.Generator, scale: float = 0.1) -> np.ndarray:
+    """Factors that start along the leading directions of the pairs found."""
+    v = np.zeros((rows.terms, FACTORS))
+    i, j, strength = _pairs(rows, error)
+    if not i.size:
+        return v
+    used = np.unique(np.concatenate((i, j)))
+    i, j = np.searchsorted(used, i), np.searchsorted(used, j)
+    q = np.linalg.qr(rng.normal(0, 1, (used.size, min(2 * FACTORS, used.size))))[0]
+    for _ in range(20):
+        moved = np.stack([-np.bincount(i, strength * c[j], minlength=used.size) - np.bincount(j, strength * c[i], minlength=used.size) for c in q.T], axis=1)
+        values, vectors = np.linalg.eigh((q.T @ moved + moved.T @ q) / 2)
+        directions = q @ vectors
+        q = np.linalg.qr(moved)[0]
+    for f in range(min(FACTORS, values.size)):
+        if values[-1 - f] > 0:
+            v[used, f] = scale * directions[:, -1 - f] / np.abs(directions[:, -1 - f]).max()
+    return v
+
+
+def _joint(rows: Rows, labels: np.ndarray, weight: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray, rng: np.random.Generator, least_steps: int, epochs: int, batch: int, rate: float, l2: float) -> float:
+    """Fit weights and factors in place by AdaGrad over mini-batches; the constant is returned."""
+    gw, gv, g0 = np.full(w.shape, 1e-3), np.full(v.shape, 1e-3), 1e-3
+    for _ in range(max(epochs, -(-least_steps * batch // labels.size))):
+        order = rng.permutation(labels.size)
+        for at in range(0, order.size, batch):
+            pick = order[at : at + batch]
+            own = rows.part(pick)
+            totals = np.stack([own.to_rows(c) for c in v.T], axis=1)
+            error = weight[pick] * (_logistic(w0 + own.to_rows(w) + 0.5 * ((totals**2).sum(axis=1) - own.to_rows((v * v).sum(axis=1)))) - labels[pick]) / pick.size
+            dw = own.to_terms(error)
+            dv = np.stack([own.to_terms(error * t) for t in totals.T], axis=1) - dw[:, None] * v + 10 * l2 * v
+            dw = dw + l2 * w
+            gw += dw * dw
+            gv += dv * dv
+            w -= rate * dw / np.sqrt(gw)
+            v -= 0.5 * rate * dv / np.sqrt(gv)
+            d0 = float(error.sum())
+            g0 += d0 * d0
+            w0 -= 0.2 * rate * d0 / math.sqrt(g0)
+    return w0
+
+
+def fit(found: list[np.ndarray], labels: np.ndarray, least_steps: int = 2000, epochs: int = 12, batch: int = 64, rate: float = 0.1, l2: float = 1e-4, seed: int = 17) -> Machine:
+    """A machine for rows of buckets; the same rows in the same order give the same machine."""
     share = float(labels.mean()) if labels.size else 0.0
     machine = Machine(math.log(max(share, 1e-12) / max(1 - share, 1e-12)), np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32))
     if share in (0.0, 1.0):
         return machine
-    seen = np.bincount(np.concatenate(rows), minlength=BUCKETS)
-    toxic = np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y > 0]), minlength=BUCKETS)
-    n, n1 = labels.size, labels.sum()
-    expected = np.maximum(seen * n1 * (n - n1) * np.maximum(n - seen, 0.5) / n**3, 1e-9)
-    keep = (seen >= LEAST_ROWS) & ((toxic - seen * n1 / n) ** 2 / expected >= LEAST_CHI2)
-    rows = [r[keep[r]] for r in rows]
     rng = np.random.default_rng(seed)
-    active = np.flatnonzero(keep)
-    machine.v[active] = rng.normal(0, 0.01, (active.size, FACTORS))
-    w, v = machine.w, machine.v
-    gw, gv, g0 = np.full(BUCKETS, 1e-3, np.float32), np.full((BUCKETS, FACTORS), 1e-3, np.float32), 1e-3
-    for _ in range(max(epochs, -(-least_steps * batch // len(rows)))):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(order), batch):
-            pick = order[at : at + batch]
-            sizes = np.array([rows[i].size for i in pick])
-            idx = np.concatenate([rows[i] for i in pick])
-            row = np.repeat(np.arange(pick.size), sizes)
-            own = v[idx]
-            totals = np.stack([np.bincount(row, own[:, f], minlength=pick.size) for f in range(FACTORS)], axis=1)
-            raw = machine.w0 + np.bincount(row, w[idx], minlength=pick.size) + 0.5 * ((totals**2).sum(axis=1) - np.bincount(row, (own * own).sum(axis=1), minlength=pick.size))
-            error = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[pick]
-            error *= np.where(labels[pick] > 0, min(4.0, 0.5 / share), 1.0)
-            per = error[row] / pick.size
-            terms, inverse = np.unique(idx, return_inverse=True)
-            dw = np.bincount(inverse, per) + l2 * w[terms]
-            dv = np.stack([np.bincount(inverse, per * (totals[row, f] - own[:, f])) for f in range(FACTORS)], axis=1) + 10 * l2 * v[terms]
-            gw[terms] += dw * dw
-            gv[terms] += dv * dv
-            w[terms] -= rate * dw / np.sqrt(gw[terms])
-            v[terms] -= 0.2 * rate * dv / np.sqrt(gv[terms])
-            d0 = float(error.mean())
-            g0 += d0 * d0
-            machine.w0 -= 0.2 * rate * d0 / math.sqrt(g0)
+    whole = Rows(found, BUCKETS)
+    known = np.flatnonzero(whole.seen >= LEAST_ROWS)
+    rows = whole.only(known)
+    weight = np.where(labels > 0, min(4.0, 0.5 / share), 1.0)
+    w0, w = _linear(rows, labels, weight, rng)
+    v = _factors(rows, weight * (_logistic(w0 + rows.to_rows(w)) - labels), rng)
+    active = np.flatnonzero((w != 0) | (v != 0).any(axis=1))
+    w, v = w[active], v[active]
+    machine.w0 = _joint(rows.only(active), labels, weight, w0, w, v, rng, least_steps, epochs, batch, rate, l2)
+    machine.w[known[active]], machine.v[known[active]] = w, v
     return machine
 
 
@@ -144,14 +258,22 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEARN_ROWS)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most LEARN_ROWS rows
     once = texts.groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    sizes = sorted((zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.n) for r in once.select("doc_id", F.octet_length("text").alias("n")).collect())  # at most LEARN_ROWS rows
+    room = np.cumsum([n for _, _, n in sizes])
+    within = [i for (_, i, _), n in zip(sizes, room.tolist(), strict=True) if n <= LEARN_BYTES]
+    if len(within) < len(sizes):
+        once = once.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in within], chosen.select("doc_id").schema)), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1).cast(pa.float64()), pa.array([terms.of(t.as_py()).tobytes() for t in b.column(2)], pa.binary())], names=["doc_id", "y", "terms"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1).cast(pa.float64()), b.column(2), pa.array([terms.of(t.as_py()).tobytes() for t in b.column(3)], pa.binary())], names=["doc_id", "y", "h", "terms"])
 
-    rows = sorted((r.doc_id, r.y, bytes(r.terms)) for r in once.mapInArrow(run, "doc_id string, y double, terms binary").collect())
-    return fit([np.frombuffer(t, np.int32) for _, _, t in rows], np.array([float(y > 0) for _, y, _ in rows]))
+    given = once.select("doc_id", "y", F.xxhash64("text").alias("h"), "text")
+    found: dict[int, tuple[float, bytes]] = {}
+    for _, y, h, t in sorted((r.doc_id, r.y, r.h, bytes(r.terms)) for r in given.mapInArrow(run, "doc_id string, y double, h bigint, terms binary").collect()):
+        found[h] = (max(y, found[h][0] if h in found else y), t)
+    return fit([np.frombuffer(t, np.int32) for _, t in found.values()], np.array([float(y > 0) for y, _ in found.values()]))
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, carry: list[str] | None = None) -> DataFrame:

@@ -359,6 +359,37 @@ def test_toxicity_finds_terms_and_pairs():
     assert machine.scores([terms.of("insult group")])[0] > 0.7 > machine.scores([terms.of("insult")])[0]
 
 
+@pytest.mark.parametrize("words", [400, 3000])
+def test_toxicity_learns_labels_that_pairs_alone_decide(words):
+    """Neither term goes with the label; only whether both or one of them is there."""
+    rng = np.random.default_rng(words)
+    stock = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(words)]
+    terms, rows, labels = toxicity.Terms(), [], []
+    for _ in range(3000):
+        insult, group = rng.random(2) < 0.5
+        rows.append(terms.of(" ".join([*(stock[i] for i in rng.integers(0, words, 30)), *["insult"] * int(insult), *["group"] * int(group)])))
+        labels.append(float(insult != group))
+    machine = toxicity.fit(rows[:2000], np.array(labels[:2000]))
+    assert ((machine.scores(rows[2000:]) >= 0.7) == (np.array(labels[2000:]) > 0)).mean() > 0.95
+
+
+def test_toxicity_held_out(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    got = toxicity.score(docs, toxicity.learn(docs, labels)).join(labels, "doc_id").where("held_out").toPandas()
+    caught = (got.predicted == 1) & (got.toxic == 1)
+    assert len(got) > 90 and caught.sum() >= 0.7 * (got.toxic == 1).sum() and caught.sum() >= 0.95 * (got.predicted == 1).sum()
+
+
+def test_toxicity_learns_within_its_bound_of_bytes(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    most, toxicity.LEARN_BYTES = toxicity.LEARN_BYTES, 60_000
+    try:
+        machine = toxicity.learn(docs, labels)
+    finally:
+        toxicity.LEARN_BYTES = most
+    assert machine.scores([np.zeros(0, np.int32)])[0] < 0.7
+
+
 def test_toxicity_of_odd_tables(spark, odd, empty):
     labels = spark.createDataFrame([(i, 1, int(i == 7)) for i in range(1, 12)] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
     rows = toxicity.score(odd, toxicity.learn(odd, labels)).collect()
