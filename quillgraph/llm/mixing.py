@@ -1,26 +1,35 @@
 """Mixing to target weights by soft membership, in DataFrame operations alone.
 
 A naive Bayes classifier is fitted on labelled rows (at most ``LEARN_ROWS``, chosen by the hash of
-their ids) and kept as a table of ``VOCABULARY`` words with a log-likelihood for each domain. It
-predicts every document's posterior over the domains. Rates then minimise the squared distance
+their ids) and kept as a table of ``VOCABULARY`` words with a log-likelihood for each domain. A
+third of these rows is left out of the table and serves to measure how far its evidence can be
+trusted: the log-likelihoods are multiplied by the temperature of the least log-loss there. The
+table then predicts every document's posterior over the domains. Rates minimise the squared distance
 between the domains' expected token totals, ``sum_i rate_i tokens_i posterior_id``, and their
-targets, with no rate under ``least_rate`` (0 or more).
-
-The minimum is found by projected gradient steps that start from rates of 1. A step is
-``rate_i <- max(least, rate_i - posterior_i . M^-1 residual)`` with ``M = sum_i tokens_i
-posterior_i posterior_i^T``, the gradient scaled by each document's tokens and by M; were no rate
-at its bound, the first step would reach the minimum. Later steps have momentum, which starts anew
-whenever the distance grows. A document's rate is thus a function of its
-posterior and of the steps' few numbers, and each step is one aggregation over all documents.
+targets, with no rate under ``least_rate`` (0 or more), whether the targets can be met or not.
+
+The minimum is found by projected gradient steps from rates of 1. Posteriors are kept in parts of
+``GRAIN``; a document's rate depends on its posterior alone, so equal posteriors are added up
+first, and each step is one aggregation over what is left: ``rate_i <- max(least, rate_i - c_i posterior_i . residual / L)``. The gradient is scaled
+by ``c_i / tokens_i`` with ``c_i`` one over the posterior's mean of the domains' tokens; a scale for each
+document leaves the minimum where it is, and L, the greatest eigenvalue of
+``sum_i tokens_i c_i posterior_i posterior_i^T``, makes the steps safe. Steps have momentum, which
+starts anew whenever the distance grows. They end once every total is within ``CLOSE`` of its target,
+or once the optimality conditions bound the squared distance to within ``GAP`` of the least; a fit that ``STEPS`` end before that warns,
+and ``Fit`` reports steps, distance and gap in any case.
 
 Defined results: a null or empty text has no tokens, the prior as posterior, and a rate like any
 other's. Rows without a domain are not learned from but get posteriors and rates. Without any
-labelled row there is one domain, ``unknown``. Targets of domains that no row has cannot be met
-and are left out. Repeated rows are all returned.
+labelled row there is one domain, ``unknown``; more than ``DOMAINS`` raise an error. Targets of domains
+that no row has cannot be met and are left out. Repeated rows are all returned. Columns besides id, text
+and domain are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import warnings
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,14 +37,14 @@ from pyspark.sql.column import Column
 
 from quillgraph.llm.common import checkpoint, hash_unit
 
-#: Labelled rows to learn from, words in the classifier's table, and domains, at most.
-LEARN_ROWS, VOCABULARY, DOMAINS = 3000, 4096, 64
-#: Words whose evidence a posterior takes at most, so that memberships of long texts stay soft.
-EVIDENCE = 3.0
-#: Steps at most, steps whose outcome is kept as a formula before it is written, and the share of all tokens by which a total may miss its target.
-STEPS, HELD, CLOSE = 60, 8, 1e-6
-#: With a least rate, the targets' sum over the least that the rates can meet.
-ROOM = 1.05
+#: Labelled rows to learn from, and words in the classifier's table, at most. More domains than these raise an error, as each takes a column.
+LEARN_ROWS, VOCABULARY, DOMAINS = 4500, 4096, 512
+#: Temperatures that are tried.
+TEMPERATURES = tuple(2.0**-n for n in range(13))
+#: Parts that posteriors are rounded to, and distinct posteriors up to which their rates are broadcast; beyond, they are joined over ``SALTS`` tasks each.
+GRAIN, FEW, SALTS = 1024, 100_000, 32
+#: Steps at most, steps whose outcome is kept as a formula before it is written, what counts as met, as a share of all tokens, and what counts as the least, as a share of their square.
+STEPS, HELD, CLOSE, GAP = 2000, 32, 1e-6, 1e-5
 UNKNOWN = "unknown"
 
 
@@ -43,40 +52,78 @@ def _words(text: Column) -> Column:
     return F.split(F.lower(text), "\\s+")
 
 
-def classifier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang") -> tuple[list[str], list[float], DataFrame]:
-    """The domains, their log priors, and the table (word, l0, l1, ...) of log-likelihoods."""
+@dataclass
+class Classifier:
+    """Domains, their log priors, a table (word, l0, l1, ...) of log-likelihoods, and the temperature that they are multiplied by."""
+
+    domains: list[str]
+    priors: list[float]
+    table: DataFrame
+    temperature: float = 1.0
+
+
+@dataclass
+class Fit:
+    """Rates and how the fit ended: steps, distance to the targets and bound on what it exceeds the least by, as shares of all target tokens."""
+
+    rates: DataFrame
+    steps: int
+    distance: float
+    gap: float
+
+
+def classifier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang") -> Classifier:
+    """A classifier from the rows that have a domain."""
+    spark = docs.sparkSession
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(domain_col).cast("string").alias("domain")).where("domain is not null")
-    sizes = labelled.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(DOMAINS).collect()
-    domains = sorted(r["domain"] for r in sizes)
+    sizes = labelled.groupBy("domain").count().orderBy("domain").limit(DOMAINS + 1).collect()
+    if len(sizes) > DOMAINS:
+        raise ValueError(f"more than {DOMAINS} domains; group them first")
+    domains = [r["domain"] for r in sizes]
     if not domains:
-        return [UNKNOWN], [0.0], docs.sparkSession.createDataFrame([], "word string, l0 double")
+        return Classifier([UNKNOWN], [0.0], spark.createDataFrame([], "word string, l0 double"))
     total = sum(r["count"] for r in sizes)
-    priors = [float(np.log(next(r["count"] for r in sizes if r["domain"] == d) / total)) for d in domains]
-    chosen = labelled.where(F.col("domain").isin(domains) & (hash_unit(F.col("doc_id"), F.lit(13)) < LEARN_ROWS / total))
-    words = chosen.select("domain", F.explode(_words(F.col("text"))).alias("word")).where("word <> ''")
+    priors = [float(np.log(r["count"] / total)) for r in sizes]
+    unit = hash_unit(F.col("doc_id"), F.lit(13)) * total / LEARN_ROWS
+    chosen = labelled.where(unit < 1)
+    aside = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(3)) == 0
+    words = chosen.where(~aside).select("domain", F.explode(_words(F.col("text"))).alias("word")).where("word <> ''")
     each = [F.sum((F.col("domain") == d).cast("long")).alias(f"n{i}") for i, d in enumerate(domains)]
     counts = words.groupBy("word").agg(F.count("*").alias("n"), *each).orderBy(F.desc("n"), "word").limit(VOCABULARY)
     counts = checkpoint(counts)
     sums = counts.agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(domains))]).first()
     terms = [F.log((F.col(f"n{i}") + 0.5) / float((sums[f"n{i}"] or 0) + 0.5 * VOCABULARY)).alias(f"l{i}") for i in range(len(domains))]
-    return domains, priors, counts.select("word", *terms)
+    model = Classifier(domains, priors, counts.select("word", *terms))
+    tried = chosen.where(aside).select("doc_id", "text", F.element_at(F.create_map(*[x for i, d in enumerate(domains) for x in (F.lit(d), F.lit(i + 1))]), F.col("domain")).alias("at"))
+    logs = _evidence(tried, model, "at").select("at", F.array(*[F.coalesce(f"s{i}", F.lit(0.0)) for i in range(len(domains))]).alias("s"))
+    losses = logs.agg(*[F.sum(-F.log(F.element_at(_posterior("s", priors, t), F.col("at")) + 1e-12)).alias(f"t{n}") for n, t in enumerate(TEMPERATURES)]).first()
+    if losses[0] is not None:
+        model.temperature = TEMPERATURES[int(np.argmin([float(x) for x in losses]))]
+    return model
 
 
-def memberships(docs: DataFrame, model: tuple[list[str], list[float], DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _evidence(rows: DataFrame, model: Classifier, *kept: str) -> DataFrame:
+    """Rows (doc_id, text) with their tokens and sums of log-likelihoods s0, s1, ...; ``kept`` columns stay."""
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", *kept, _words(F.col("text")).alias("words"))
+    met = numbered.select("row", "doc_id", *kept, F.explode_outer("words").alias("word")).join(F.broadcast(model.table), "word", "left")  # at most VOCABULARY rows
+    tokens = F.sum(F.coalesce((F.col("word") != "").cast("long"), F.lit(0))).alias("n_tokens")
+    return met.groupBy("row", "doc_id", *kept).agg(tokens, *[F.sum(f"l{i}").alias(f"s{i}") for i in range(len(model.domains))])
+
+
+def _posterior(logs: str, priors: list[float], temperature: float) -> Column:
+    """Probabilities of the domains from an array of sums of log-likelihoods."""
+    raised = F.zip_with(F.col(logs), F.array(*[F.lit(p) for p in priors]), lambda s, p: s * temperature + p)
+    powers = F.transform(F.array(raised), lambda x: F.transform(x, lambda y: F.exp(y - F.array_max(x))))[0]
+    return F.transform(F.array(powers), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y)))[0]
+
+
+def memberships(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, p): tokens and posterior of every row, checkpointed."""
-    domains, priors, table = model
-    k = range(len(domains))
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), _words(F.col(text_col)).alias("words"))
-    rows = numbered.select("row", "doc_id", F.explode_outer("words").alias("word"))
-    met = rows.join(F.broadcast(table), "word", "left")  # at most VOCABULARY rows
-    sums = met.groupBy("row", "doc_id").agg(
-        F.sum(F.coalesce((F.col("word") != "").cast("long"), F.lit(0))).alias("n_tokens"), F.count("l0").alias("known"), *[F.sum(f"l{i}").alias(f"s{i}") for i in k]
-    )
-    scale = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(F.col("known"), F.lit(1)))
-    logs = F.array(*[F.lit(priors[i]) + F.coalesce(f"s{i}", F.lit(0.0)) * scale for i in k])
-    powers = sums.select("doc_id", "n_tokens", F.transform(logs, lambda x: F.exp(x - F.array_max(logs))).alias("e"))
-    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    return checkpoint(powers.select("doc_id", "n_tokens", F.transform("e", lambda x: x / total).alias("p")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    sums = _evidence(rows, model).select("doc_id", "n_tokens", F.array(*[F.coalesce(f"s{i}", F.lit(0.0)) for i in range(len(model.domains))]).alias("s"))
+    parts = F.transform(_posterior("s", model.priors, model.temperature), lambda x: F.round(x * GRAIN))
+    shares = F.transform(F.array(parts), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y)))[0]
+    return checkpoint(sums.select("doc_id", "n_tokens", shares.alias("p")))
 
 
 def _after(steps: list[tuple[np.ndarray, float]], least: float) -> Column:
@@ -85,7 +132,7 @@ def _after(steps: list[tuple[np.ndarray, float]], least: float) -> Column:
         return F.col("z")
     listed = ", ".join("named_struct('g', array(" + ", ".join(f"{v!r}D" for v in g.tolist()) + f"), 'b', {b!r}D)" for g, b in steps)
     dot = " + ".join(f"p[{i}] * s.g[{i}]" for i in range(len(steps[0][0])))
-    moved = f"transform(array(greatest({least!r}D, z.y - ({dot}))), r -> named_struct('r', r, 'y', (1D + s.b) * r - s.b * z.r))[0]"
+    moved = f"transform(array(greatest({least!r}D, z.y - c * ({dot}))), r -> named_struct('r', r, 'y', (1D + s.b) * r - s.b * z.r))[0]"
     return F.expr(f"aggregate(array({listed}), z, (z, s) -> {moved})")
 
 
@@ -96,42 +143,71 @@ def totals(members: DataFrame, k: int, rate: Column | None = None) -> np.ndarray
     return np.array([float(x or 0.0) for x in found])
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, least_rate: float = 0.0) -> DataFrame:
-    """``members`` with a column rate, whose expected totals come as near to the targets as rates of at least ``least_rate`` can."""
-    k = len(targets)
-    products = [F.sum(F.col("n_tokens") * F.element_at("p", i + 1) * F.element_at("p", j + 1)) for i in range(k) for j in range(i, k)]
-    found = iter(members.agg(*[p.alias(f"m{n}") for n, p in enumerate(products)]).first())
+def _dot(g: np.ndarray) -> Column:
+    out = F.lit(0.0)
+    for i, x in enumerate(g.tolist()):
+        out = out + F.element_at("p", i + 1) * x
+    return out
+
+
+def fit_rates(members: DataFrame, targets: np.ndarray, least_rate: float = 0.0) -> Fit:
+    """``members`` with a column rate, whose expected totals are as near to the targets as rates of at least ``least_rate`` can make them."""
+    k, least = len(targets), float(least_rate)
+    all_tokens = max(float(targets.sum()), 1.0)
+    groups = checkpoint(members.groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")))
+    n_groups = groups.count()
+    groups = groups.coalesce(n_groups // FEW + 1)
+    mass = totals(groups, k)
+    scaled = groups.withColumn("c", F.lit(1.0) / F.greatest(_dot(mass), F.lit(1e-9)))
+    products = [F.sum(F.col("n_tokens") * F.col("c") * F.element_at("p", i + 1) * F.element_at("p", j + 1)) for i in range(k) for j in range(i, k)]
+    found = iter(scaled.agg(*[x.alias(f"m{n}") for n, x in enumerate(products)]).first())
     m = np.zeros((k, k))
     for i in range(k):
         for j in range(i, k):
             m[i, j] = m[j, i] = float(next(found) or 0.0)
-    inverse = np.linalg.pinv(m, rcond=1e-10, hermitian=True)
-    start = F.lit(max(1.0, least_rate))
-    rows = members.withColumn("z", F.struct(start.alias("r"), start.alias("y")))
+    rate = 1.0 / max(float(np.linalg.eigvalsh(m)[-1]), 1e-12)
+    start = F.lit(max(1.0, least))
+    rows = scaled.withColumn("z", F.struct(start.alias("r"), start.alias("y")))
     steps: list[tuple[np.ndarray, float]] = []
-    worth, run = np.inf, -1
-    for _ in range(STEPS):
-        residual = totals(rows, k, _after(steps, least_rate)["y"]) - targets
-        step = inverse @ residual
-        if np.abs(residual).max() <= CLOSE * max(targets.sum(), 1.0) or np.abs(step).max() < 1e-9:
-            break
-        run = 0 if residual @ step > worth else run + 1
-        worth = residual @ step
-        steps.append((step, run / (run + 3.0)))
+    taken, worth, run, calm = 0, np.inf, -1, 0
+    while True:
+        residual = totals(rows, k, _after(steps, least)["y"]) - targets
+        now = float(residual @ residual) / all_tokens**2
+        calm = calm + 1 if abs(worth - now) <= CLOSE**2 + 1e-9 * now else 0
+        if np.abs(residual).max() <= 0.5 * CLOSE * all_tokens or calm >= 3 or taken >= STEPS:
+            reached = _after(steps, least)["r"]
+            residual = totals(rows, k, reached) - targets
+            over = (reached - F.lit(least)) * F.col("n_tokens")
+            slope = _dot(residual)
+            ends = rows.agg(F.sum(over * slope).alias("slack"), F.min(F.when(F.col("n_tokens") > 0, slope)).alias("worst"), F.sum(over).alias("over")).first()
+            gap = (abs(ends["slack"] or 0.0) + max(0.0, -(ends["worst"] or 0.0)) * max(ends["over"] or 0.0, all_tokens)) / all_tokens**2
+            if np.abs(residual).max() <= CLOSE * all_tokens or gap <= GAP or taken >= STEPS:
+                break
+            calm = 0
+        run = 0 if now > worth else run + 1
+        worth, taken = now, taken + 1
+        steps.append((rate * residual, run / (run + 3.0)))
         if len(steps) == HELD:
-            rows, steps = checkpoint(rows.withColumn("z", _after(steps, least_rate))), []
-    return rows.withColumn("rate", F.round(_after(steps, least_rate)["r"], 9)).drop("z")
-
-
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", least_rate: float = 0.0, flatten: float = 0.0) -> DataFrame:
+            rows, steps = checkpoint(rows.withColumn("z", _after(steps, least))).coalesce(n_groups // FEW + 1), []
+    distance = float(np.sqrt(residual @ residual)) / all_tokens
+    if gap > GAP and np.abs(residual).max() > CLOSE * all_tokens:
+        warnings.warn(f"rates are not settled after {taken} steps: distance {distance:.2e}, gap {gap:.2e} of all tokens", stacklevel=2)
+    rates = checkpoint(rows.select("p", F.round(_after(steps, least)["r"], 9).alias("rate")))
+    if n_groups <= FEW:
+        return Fit(members.join(F.broadcast(rates), "p"), taken, distance, gap)
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SALTS)).cast("int"))
+    spread = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return Fit(salted.join(spread, ["p", "salt"]).drop("salt"), taken, distance, gap)
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", least_rate: float = 0.0, flatten: float = 0.0, growth: float = 1.0) -> DataFrame:
     """(doc_id, n_tokens, domain, posterior, rate) for every row.
 
     ``weights`` are the domains' target shares of all tokens; without them the shares found are
-    raised to the power ``flatten`` (0: equal shares). The targets add up to the tokens found or,
-    with a ``least_rate``, to ``ROOM`` times the least number from which no domain's share is below what it has.
+    raised to the power ``flatten`` (0: equal shares). The targets add up to ``growth`` times the tokens found.
     """
     model = classifier(docs, id_col, text_col, domain_col)
-    domains = model[0]
+    domains = model.domains
     members = memberships(docs, model, id_col, text_col)
     now = totals(members, len(domains))
     if weights is None:
@@ -139,18 +215,20 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     else:
         wish = np.array([weights.get(d, 0.0) for d in domains]) * (now > 0)
     share = wish / wish.sum() if wish.sum() > 0 else wish
-    total = now.sum()
-    if least_rate > 0 and (share > 0).any():
-        total = max(total, ROOM * float((least_rate * now[share > 0] / share[share > 0]).max()))
-    rated = fit_rates(members, share * total, least_rate)
+    rated = fit_rates(members, share * now.sum() * growth, least_rate).rates
     best = F.array_position("p", F.array_max("p")).cast("int")
     named = F.element_at(F.array(*[F.lit(d) for d in domains]), best)
     return rated.select(F.col("doc_id").alias(id_col), "n_tokens", named.alias("domain"), F.col("p").alias("posterior"), "rate")
 
 
 def apply_rates(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows repeated by their rates: the whole part, and once more with the fraction as probability, decided by the id's hash."""
-    known = rates.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.avg("rate").alias("_rate"))
-    met = docs.join(known, id_col, "left").withColumn("_rate", F.coalesce("_rate", F.lit(1.0)))
-    copies = (F.floor("_rate") + (hash_unit(F.col(id_col), F.lit(29)) < F.col("_rate") - F.floor("_rate")).cast("long")).cast("int")
-    return met.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")))).select(docs.columns)
+    """Rows repeated by their rates: the whole part, and once more with the fraction as probability, decided by the id's hash.
+
+    Rows that share an id get the mean of its rates; rows without an id or a rate stay once. Columns keep their names, whatever these are.
+    """
+    known = rates.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.avg("rate").alias("rate"))
+    rows = docs.select(F.col(id_col).alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    met = rows.join(known, "k", "left").select("k", "row", F.coalesce("rate", F.lit(1.0)).alias("rate"))
+    copies = (F.floor("rate") + (hash_unit(F.col("k"), F.lit(29)) < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
+    repeated = met.select("row", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))).alias("copy"))
+    return repeated.select("row.*")
