@@ -5,6 +5,9 @@ a subdomain of it and whose path begins with the rule's path. Each URL is expand
 the shapes (labels in the suffix, characters in the prefix) that the rules have, so the number
 of expressions for a URL is bounded by the rule set and never by the URL's length.
 
+Expressions and rules meet on a short prefix of their digests alone; the full digests are compared
+where the rules met are ranked, which no optimizer can move into the join's keys.
+
 Defined results: a null URL or one without ``://`` has an empty host and an empty path; an empty
 host fits no rule. Repeated rows are all returned. Columns besides id and url are ignored.
 """
@@ -18,6 +21,8 @@ from pyspark.sql.column import Column
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hex digits of a digest that serve as the join key.
 PREFIX_DIGITS = 8
+#: Keys that rows without a host, which no rule fits, are spread over.
+HOSTLESS_KEYS = 1 << 12
 
 
 def url_host(url: Column) -> Column:
@@ -64,7 +69,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     spark = pages.sparkSession
     ready = prepare_rules(rules)
     shapes = sorted((r.labels, r.path_length) for r in ready.select("labels", "path_length").distinct().collect())
-    urls = pages.select(F.col(id_col).alias(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
+    urls = pages.select(F.col(f"`{id_col}`").alias(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     if not shapes:
         return urls.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     listed = ", ".join(f"named_struct('n', {n}, 'l', {k})" for n, k in shapes)
@@ -74,9 +79,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     )
     distinct = urls.where("host <> ''").select("host", "path").distinct()
     expanded = distinct.withColumn("labels", F.split("host", "[.]")).select("host", "path", F.explode(expressions).alias("expression"))
-    keyed = expanded.select("host", "path", F.sha2("expression", 256).alias("full"))
-    found = keyed.join(ready, (F.substring("full", 1, PREFIX_DIGITS) == ready["key"]) & (keyed["full"] == ready["digest"]))
+    keyed = expanded.select("host", "path", F.sha2("expression", 256).alias("full")).withColumn("key", F.substring("full", 1, PREFIX_DIGITS))
+    met = keyed.join(ready, "key")
+    confirmed = F.col("full") == F.col("digest")
     order = F.struct((F.col("host_length") + F.col("path_length")).alias("a"), F.col("host_length").alias("b"), F.col("rule").alias("c"))
-    best = found.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), order).alias("best"))
-    out = urls.join(best, ["host", "path"], "left")
+    ranked = met.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.when(confirmed, order)).alias("best"))
+    best = ranked.select(F.concat_ws("\n", F.lit("u"), "host", "path").alias("at"), "best")
+    spread = F.pmod(F.xxhash64(F.col(id_col)), F.lit(HOSTLESS_KEYS)).cast("string")
+    at = F.when(F.col("host") == "", F.concat_ws("\n", F.lit("none"), spread)).otherwise(F.concat_ws("\n", F.lit("u"), "host", "path"))
+    out = urls.withColumn("at", at).join(best, "at", "left")
     return out.select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -453,7 +453,10 @@ def test_decoding_never_contradicts_itself():
 # URL filter
 
 
-def test_url_verdicts_match_brute_force(spark):
+@pytest.mark.parametrize("digits", [8, 1, 0])
+def test_url_verdicts_match_brute_force(spark, digits, monkeypatch):
+    """With short prefixes, or none, every expression meets rules that it is not; the full digests tell them apart."""
+    monkeypatch.setattr(url_filter, "PREFIX_DIGITS", digits)
     urls = [None, "", "nothing", "://", "http://", "HTTP://Example.ORG/en/123?x#y", "a://b.example.org/es/", "a://b.example.org/es", "a://badexample.org/en/1", "a://org/", "a://org", "a://x.com/fr/1", "a://x.com/de/1#z", "a://x.com:80/de/1", "a://y://z.org/", "a://COM/DE/", "a://x.\u00c9.org/q?r/", "a://" + "l." * 3000 + "org/" + "p" * 3000]
     df = spark.createDataFrame([(i % 16, u, "clash", "clash") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
     rules = spark.createDataFrame(queries.URL_RULES + [(None, "/", "block"), ("org", "/", "allow")], "host string, path string, verdict string")
@@ -472,6 +475,14 @@ def test_url_verdicts_match_brute_force(spark):
     assert {r.verdict for r in url_filter.judge_urls(df, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_digests_are_no_join_keys(spark):
+    df = spark.createDataFrame([(1, "a://x.org/q")], "page_id long, url string")
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    plan = url_filter.judge_urls(df, rules)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert any("key" in line for line in joins) and not any("digest" in line or "full" in line for line in joins)
+
+
 # Mixing
 
 
