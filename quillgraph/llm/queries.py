@@ -62,7 +62,7 @@ WITH e AS (
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)
 ), s AS (
   SELECT q.id AS query_id, c.id AS vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM e AS q JOIN e AS c ON q.id % 50 = 0 AND q.id <> c.id AND len(q.v) = len(c.v)
+  FROM (SELECT id, min(v) AS v FROM e WHERE id % 50 = 0 GROUP BY id) AS q JOIN e AS c ON q.id <> c.id AND len(q.v) = len(c.v)
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
