@@ -1,12 +1,18 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
-Two 64-bit fingerprints that differ in at most 3 bits agree in at least 5 of their 8 bytes.
-Each distinct fingerprint is posted under combinations of four (position, byte) entries; the
-combinations are a covering family, so that any five agreeing positions hold one of them.
-Within a posting list the agreeing bytes of a pair are tallied, pairs with fewer than five are
-dropped and the rest verified bit by bit. No pair is ever written as a row: a list gives one row
-per member that is linked to a smaller one, so a group of copies costs as many rows as it has
-members. Equal fingerprints are merged before posting.
+Two 64-bit fingerprints that differ in at most 3 bits agree in at least 5 of their 8 bytes. The
+index has an entry for each position and byte value. A single entry's list holds a 256th of all
+fingerprints, so lists are kept for entries that meet: the fingerprints that four entries share, for
+14 sets of four positions, of which any five agreeing positions hold one. Within a list the
+agreeing bytes of a pair are tallied, pairs with fewer than five are dropped and the rest verified
+bit by bit. No pair is ever written as a row: a list gives one row per member that is linked to a
+smaller one, so a group of copies costs as many rows as it has members. Equal fingerprints are
+merged before posting.
+
+A list of more than ``SPLIT_ABOVE`` members is not compared where it is found but dealt out again by
+a fifth entry, four lists a member, over other tasks. All members of such a list have the tally; if it
+is long still, each is looked up with every change of up to three of the other 24 bits, which takes
+time in proportion to the members, and ``SHARES`` tasks take a part of the changes each.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; a
 repeated row shares its copies' component. A null id takes part but is never a component's id.
@@ -22,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
 from quillgraph.llm.common import bound_batches, checkpoint
 
@@ -29,8 +36,8 @@ SEED = 42
 BYTES = 8
 #: Shingles hashed at once, which bounds memory for long texts.
 CHUNK = 1 << 16
-#: Members of a posting list above which it is split by one more agreeing byte.
-SPLIT_ABOVE = 4096
+#: Members of a list above which it is dealt out by one more entry, and tasks that share the changes to look up in a list that is long still.
+SPLIT_ABOVE, SHARES = 4096, 4
 
 
 def fingerprint(raw: bytes | None, width: int = 3) -> int:
@@ -98,66 +105,106 @@ def _linked(values: np.ndarray, max_bits: int, least: int) -> np.ndarray:
     return root
 
 
-def _edges(values: np.ndarray, block: tuple[int, ...], max_bits: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links of one posting list as (member, smaller member); a long list is split by a further agreeing byte."""
-    values = np.unique(values)
-    if values.size <= SPLIT_ABOVE or len(block) >= least:
-        parts = [(values, block)]
-    else:
-        parts = []
-        for p in (p for p in range(BYTES) if p not in block):
-            byte = (values.view(np.uint64) >> np.uint64(8 * p)) & np.uint64(255)
-            order = np.argsort(byte, kind="stable")
-            cuts = np.flatnonzero(np.diff(byte[order])) + 1
-            parts += [(values[np.sort(o)], (*block, p)) for o in np.split(order, cuts) if o.size > 1]
-    for part, _ in parts:
-        root = _linked(part, max_bits, least)
-        moved = np.flatnonzero(root != np.arange(part.size))
-        if moved.size:
-            yield part[moved], part[root[moved]]
+def _changed(values: np.ndarray, block: tuple[int, ...], max_bits: int, share: int) -> np.ndarray:
+    """For distinct values, sorted as unsigned, that agree in the bytes of ``block``: the index of the first one that each is joined to by a share of the changes in the other bytes."""
+    bits = [8 * p + b for p in range(BYTES) if p not in block for b in range(8)]
+    changes = [sum(1 << b for b in c) for n in range(1, max_bits + 1) for c in combinations(bits, n)]
+    root = np.arange(values.size)
+    for change in changes[share::SHARES]:
+        other = values ^ np.uint64(change)
+        at = np.minimum(np.searchsorted(values, other), values.size - 1)
+        i = np.flatnonzero(values[at] == other)
+        while (apart := root[i] != root[at[i]]).any():
+            i = i[apart]
+            np.minimum.at(root, np.maximum(root[i], root[at[i]]), np.minimum(root[i], root[at[i]]))
+            while (root[root] != root).any():
+                root = root[root]
+    return root
+
+
+def _lists(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """(key, members, whole) of rows (key, fp) sorted by key; a list of over ``most`` members comes in several parts that are not whole."""
+    key, held, split = None, [], False
+    for b in batches:
+        keys, values = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [keys.size])) if keys.size else np.zeros(1, np.int64)
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if keys[s] != key:
+                if held:
+                    yield key, np.concatenate(held), not split
+                key, held, split = keys[s], [], False
+            held.append(values[s:e])
+            if sum(h.size for h in held) > most:
+                yield key, np.concatenate(held), False
+                held, split = [], True
+    if held:
+        yield key, np.concatenate(held), not split
+
+
+def _key(block: tuple[int, ...], number: int, fp: str = "fp") -> Column:
+    key = F.lit(number).cast("long")
+    for p in block:
+        key = F.shiftleft(key, 8).bitwiseOR(F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(255)))
+    return key
 
 
 def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
-    """Distinct (u, v), v < u, that join the distinct fingerprints ``fp`` to components within posting lists."""
+    """Distinct (u, v), v < u, that join the distinct fingerprints ``fp`` to components within lists."""
     least = BYTES - max_bits
     blocks = covering_blocks(least, least - 1)
-    byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
-    keys = []
-    for n, block in enumerate(blocks):
-        key = F.lit(n).cast("long")
-        for p in block:
-            key = F.shiftleft(key, 8).bitwiseOR(byte(p))
-        keys.append(key)
-    posted = fps.select("fp", F.explode(F.array(*keys)).alias("key")).repartition("key").sortWithinPartitions("key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held = np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def lists(keys: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cuts = np.flatnonzero(np.diff(keys)) + 1
-            starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [keys.size]))
-            us, vs = [], []
-            for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-                block = blocks[int(keys[s]) >> (8 * (least - 1))]
-                for u, v in _edges(values[s:e], block, max_bits, least):
-                    us.append(u)
-                    vs.append(v)
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
-
-        for b in batches:
-            values = np.concatenate((held, b.column(0).to_numpy(zero_copy_only=False)))
-            keys_now = np.concatenate((held_keys, b.column(1).to_numpy(zero_copy_only=False)))
-            if not keys_now.size:
+    posted = fps.select(F.explode(F.array(*[_key(b, n) for n, b in enumerate(blocks)])).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
+
+    def rows(u: list[np.ndarray], v: list[np.ndarray], more: bool) -> pa.RecordBatch:
+        u, v = np.concatenate(u), np.concatenate(v)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(u.size, more))], names=["u", "v", "more"])
+
+    def joined(values: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        moved = np.flatnonzero(root != np.arange(values.size))
+        a, b = values[moved].view(np.int64), values[root[moved]].view(np.int64)
+        return np.maximum(a, b), np.minimum(a, b)
+
+    def compare(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        values = np.unique(values)
+        return joined(values, _linked(values, max_bits, least))
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        us, vs = [], []
+        for key, values, whole in _lists(batches, SPLIT_ABOVE):
+            if not whole:
+                yield rows([values], [np.full(values.size, key >> (8 * (least - 1)))], True)
+            elif values.size > 1:
+                u, v = compare(values)
+                us.append(u)
+                vs.append(v)
+                if len(us) > 1 << 14:
+                    yield rows(us, vs, False)
+                    us, vs = [], []
+        if us:
+            yield rows(us, vs, False)
+
+    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, values, _ in _lists(batches, 1 << 62):
+            share, block = key % SHARES, fifth[key // SHARES >> (8 * least)]
+            values = np.unique(values.view(np.uint64))
+            if values.size > SPLIT_ABOVE:
+                u, v = joined(values, _changed(values, block, max_bits, int(share)))
+            elif share == 0:
+                u, v = compare(values.view(np.int64))
+            else:
                 continue
-            last = int(np.searchsorted(keys_now, keys_now[-1]))
-            if last:
-                yield from lists(keys_now[:last], values[:last])
-            held_keys, held = keys_now[last:], values[last:]
-        if held.size:
-            yield from lists(held_keys, held)
-
-    return posted.mapInArrow(run, "u bigint, v bigint").distinct()
+            yield rows([u], [v], False)
+
+    once = checkpoint(posted.mapInArrow(short, "u bigint, v bigint, more boolean"))
+    edges = once.where("not more").select("u", "v")
+    if once.where("more").isEmpty():
+        return edges.distinct()
+    fifth = list(combinations(range(BYTES), least))  # a list goes on under the sets that hold its own
+    under = F.lit(None).cast("array<bigint>")
+    for n, block in enumerate(blocks):
+        under = F.when(F.col("v") == n, F.array(*[_key(f, m, "u") for m, f in enumerate(fifth) if set(block) <= set(f)])).otherwise(under)
+    dealt = once.where("more").select(F.col("u").alias("fp"), F.explode(under).alias("key")).distinct()
+    shared = dealt.select(F.explode(F.array(*[F.col("key") * SHARES + i for i in range(SHARES)])).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
+    return edges.union(shared.mapInArrow(long, "u bigint, v bigint, more boolean").select("u", "v")).distinct()
 
 
 def stars(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -127,7 +127,9 @@ def test_near_duplicates_match_brute_force_on_odd_rows(odd):
     assert {(r.doc_id, int(r.fingerprint, 16)): r.component_id for r in got} == want
 
 
-def test_links_of_a_dense_cluster_match_brute_force(spark):
+@pytest.mark.parametrize("split_above", [20, 150, 4096])
+def test_links_of_a_dense_cluster_match_brute_force(spark, split_above):
+    """All lists short, long ones that a fifth entry makes short, and ones that are long still."""
     rng = np.random.default_rng(3)
     centre = int(rng.integers(0, 1 << 63))
     values = {centre}
@@ -140,7 +142,7 @@ def test_links_of_a_dense_cluster_match_brute_force(spark):
     rows = [(n, v) for n, v in enumerate(sorted(values))]
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     fps = spark.createDataFrame([(signed(v),) for _, v in rows], "fp long")
-    least, simhash.SPLIT_ABOVE = simhash.SPLIT_ABOVE, 20
+    least, simhash.SPLIT_ABOVE = simhash.SPLIT_ABOVE, split_above
     try:
         star = {r.u: r.v for r in simhash.stars(simhash.links(fps)).collect()}
     finally:
@@ -154,6 +156,13 @@ def test_links_of_a_dense_cluster_match_brute_force(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_a_hot_list_takes_time_in_proportion_to_its_members(spark):
+    """Twenty thousand fingerprints that share six bytes."""
+    values = [(0x1122334455 << 24 | x) for x in range(20_000)]
+    star = simhash.stars(simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"))).collect()
+    assert len(star) == len(values) - 1 and {r.v for r in star} == {min(values)}
+
+
 # BPE
 
 
@@ -246,6 +255,7 @@ def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(8)
     rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 0.2, (1500, 6)).astype(np.float32))]
     rows += [(2000 + i, [0.5] * 6) for i in range(900)]  # copies
+    rows += [(4000, [0.25] * 6), (4000, [0.125] * 6), (4000, [0.75, 0.25]), (7, rows[8][1])]  # ids with several vectors
     rows += [(3000, None), (3001, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (3002, [float("nan")] * 6), (3003, [float("inf")] * 6), (None, [0.1] * 6), (3050, [1.0, 2.0]), (3051, [3.0, 1.0]), (3100, [9.0]), (3150, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash")).withColumn("v", F.lit(1)).repartition(4)
     page, mtree.PAGE, leaf, mtree.LEAF = mtree.PAGE, 300, mtree.LEAF, 16
@@ -254,15 +264,48 @@ def test_top_k_matches_brute_force(spark):
     finally:
         mtree.PAGE, mtree.LEAF = page, leaf
     sound = [(i, np.floor(256 * np.array(v, dtype=np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    want = {}
+    want, asks = {}, {}
     for i, q in sound:
-        if i % 50 == 0:
-            best = sorted((-int(q @ v), j) for j, v in sound if j != i and len(v) == len(q))[:5]
-            want |= {(i, n + 1): (j, -s) for n, (s, j) in enumerate(best)}
+        asks[i] = min(asks.get(i, tuple(q)), tuple(q))
+    for i, q in ((i, np.array(q)) for i, q in asks.items() if i % 50 == 0):
+        best = sorted((-int(q @ v), j) for j, v in sound if j != i and len(v) == len(q))[:5]
+        want |= {(i, n + 1): (j, -s) for n, (s, j) in enumerate(best)}
     assert got == want
     assert mtree.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_large_products_are_exact(spark):
+    """Sums over 2^53 that differ by less than a float can tell; what no 64-bit integer holds raises an error."""
+    r = random.Random(4)
+    big = [[float((1 << 29) + r.randrange(64)) / 256 * 256 for _ in range(4)] for _ in range(300)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(big)], "vec_id long, embedding array<double>").repartition(3)
+    got = {(x.query_id, x.rank): (x.vec_id, x.score) for x in mtree.top_k(df, F.col("vec_id") % 50 == 0, scale=1).collect()}
+    whole = [[int(x) for x in v] for v in big]
+    want = {}
+    for i in range(0, 300, 50):
+        best = sorted((-sum(a * b for a, b in zip(whole[i], v, strict=True)), j) for j, v in enumerate(whole) if j != i)[:5]
+        want |= {(i, n + 1): (j, -s) for n, (s, j) in enumerate(best)}
+    assert got == want and all(s > 1 << 53 for _, s in got.values())
+    for v in ([1e30, 1.0], [1e15, 1e15]):
+        with pytest.raises(Exception, match="64 bits|too large|out of bounds|[Oo]verflow"):
+            mtree.top_k(spark.createDataFrame([(0, v), (1, v)], "vec_id long, embedding array<double>"), F.lit(True)).collect()
+
+
+def test_pages_out_of_reach_are_not_searched(spark, monkeypatch):
+    """In clustered vectors most queries search few of the pages."""
+    monkeypatch.setattr(mtree, "PAGE", 100)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 1, (20, 8))
+    rows = [(int(i), [float(x) for x in centres[i % 20] + rng.normal(0, 0.02, 8)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    seen = []
+    meet = mtree._meet
+    monkeypatch.setattr(mtree, "_meet", lambda paged, asked, k: seen.append((paged.select("page").distinct().count(), asked.count())) or meet(paged, asked, k))
+    assert mtree.top_k(df, F.col("vec_id") % 50 == 0).count() == 200
+    (pages, asked), (_, more) = seen
+    assert asked == 40 and pages >= 20 and more < 40 * pages / 3
+
+
 def test_bounds_spare_computations():
     rng = np.random.default_rng(2)
     centres = rng.normal(0, 300, (12, 8))
@@ -501,7 +544,7 @@ def coordinate_descent(a, targets, least):
     return a.T @ rate
 
 
-@pytest.mark.parametrize(("share", "least", "total"), [((0.0, 0.2, 0.8), 1.0, 1.0), ((0.1, 0.3, 0.6), 0.0, 1.0), ((0.9, 0.08, 0.02), 0.0, 1.0), ((0.5, 0.25, 0.25), 1.0, 0.4), ((0.6, 0.2, 0.2), 1.0, 3.0)])
+@pytest.mark.parametrize(("share", "least", "total"), [((0.0, 0.2, 0.8), 1.0, 1.0), ((0.1, 0.3, 0.6), 0.0, 1.0), ((0.8, 0.15, 0.05), 0.0, 1.0), ((0.5, 0.25, 0.25), 1.0, 0.4), ((0.6, 0.2, 0.2), 1.0, 3.0)])
 def test_rates_are_the_constrained_optimum(spark, share, least, total):
     """Soft memberships, targets that can and that cannot be met: totals as by an independent solver."""
     rng = np.random.default_rng(12)
