@@ -41,8 +41,8 @@ from quillgraph.llm.common import checkpoint, hash_unit
 LEARN_ROWS, VOCABULARY, DOMAINS = 4500, 4096, 512
 #: Temperatures that are tried.
 TEMPERATURES = tuple(2.0**-n for n in range(13))
-#: Parts that posteriors are rounded to, and distinct posteriors up to which their rates are broadcast; beyond, they are joined over ``SALTS`` tasks each.
-GRAIN, FEW, SALTS = 1024, 100_000, 32
+#: Parts that posteriors are rounded to, and numbers in all distinct ones up to which their rates are broadcast; beyond, they are joined over ``SALTS`` tasks each.
+GRAIN, FEW, SALTS = 1024, 400_000, 32
 #: Steps at most, steps whose outcome is kept as a formula before it is written, what counts as met, as a share of all tokens, and what counts as the least, as a share of their square.
 STEPS, HELD, CLOSE, GAP = 2000, 32, 1e-6, 1e-5
 UNKNOWN = "unknown"
@@ -156,7 +156,7 @@ def fit_rates(members: DataFrame, targets: np.ndarray, least_rate: float = 0.0)
     all_tokens = max(float(targets.sum()), 1.0)
     groups = checkpoint(members.groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")))
     n_groups = groups.count()
-    groups = groups.coalesce(n_groups // FEW + 1)
+    groups = groups.coalesce(n_groups * k // FEW + 1)
     mass = totals(groups, k)
     scaled = groups.withColumn("c", F.lit(1.0) / F.greatest(_dot(mass), F.lit(1e-9)))
     products = [F.sum(F.col("n_tokens") * F.col("c") * F.element_at("p", i + 1) * F.element_at("p", j + 1)) for i in range(k) for j in range(i, k)]
@@ -188,12 +188,12 @@ def fit_rates(members: DataFrame, targets: np.ndarray, least_rate: float = 0.0)
         worth, taken = now, taken + 1
         steps.append((rate * residual, run / (run + 3.0)))
         if len(steps) == HELD:
-            rows, steps = checkpoint(rows.withColumn("z", _after(steps, least))).coalesce(n_groups // FEW + 1), []
+            rows, steps = checkpoint(rows.withColumn("z", _after(steps, least))).coalesce(n_groups * k // FEW + 1), []
     distance = float(np.sqrt(residual @ residual)) / all_tokens
     if gap > GAP and np.abs(residual).max() > CLOSE * all_tokens:
         warnings.warn(f"rates are not settled after {taken} steps: distance {distance:.2e}, gap {gap:.2e} of all tokens", stacklevel=2)
     rates = checkpoint(rows.select("p", F.round(_after(steps, least)["r"], 9).alias("rate")))
-    if n_groups <= FEW:
+    if n_groups * k <= FEW:
         return Fit(members.join(F.broadcast(rates), "p"), taken, distance, gap)
     salted = members.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SALTS)).cast("int"))
     spread = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
