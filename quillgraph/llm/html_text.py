@@ -9,7 +9,10 @@ the root with the greatest sum of log-odds.
 
 Defined results: a null or empty page, and one with no main text, has an empty text and 0
 characters. Broken markup never fails: unclosed elements end with their parent or with the page,
-stray end tags are ignored, an unfinished tag at the end is dropped. Repeated rows are all returned.
+stray end tags are ignored, an unfinished tag at the end is dropped. A quote opens a value only after
+an equals sign and closes it only before white space, a slash or the tag's end; if it does not, the tag ends at
+its first angle bracket. Parsing takes time in proportion to the page, and features are made for
+``HOLD`` nodes at once, whatever the page. Repeated rows are all returned. Columns besides id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -39,17 +42,19 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: An element that begins ends an open one of these, up to the nearest of the second set.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 TAGS = ("article", "main", "section", "div", "p", "h1", "h2", "h3", "ul", "ol", "li", "nav", "header", "footer", "aside", "form", "table", "td", "blockquote", "pre", "figure", "figcaption", "button", "body", TEXT)
-TAG_AT = {t: i for i, t in enumerate(TAGS)}
+_TAG_BITS = {t: 1 << i for i, t in enumerate(TAGS)}
 #: Buckets that attribute tokens are hashed to.
 TOKENS = 64
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Nodes whose features are held at once.
+HOLD = 1 << 14
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>]))|[\"'=])*+)>", re.S)
 _UNFINISHED = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
 _MARKS = re.compile(r"[.,;:!?]")
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     """A block element or a run of text."""
 
@@ -74,9 +79,18 @@ def parse(page: str) -> list[Node]:
     """The nodes of a page in their order; the first is the root."""
     nodes = [Node("body", -1, 0)]
     stack = [0]
+    places: dict[str, list[int]] = {}  # where the open elements of a tag are in the stack
     pieces: list[str] = []
     state = {"link": 0, "in_link": False}
 
+    def close(at: int) -> None:
+        for i in stack[at:]:
+            places[nodes[i].tag].pop()
+        del stack[at:]
+
+    def nearest(tags: set[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def flush() -> None:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
@@ -91,9 +105,9 @@ def parse(page: str) -> list[Node]:
         if state["in_link"]:
             state["link"] += len(text)
 
-    at, size = 0, len(page)
+    at, size, last = 0, len(page), page.rfind(">")
     while at < size:
-        m = _MARKUP.search(page, at)
+        m = _MARKUP.search(page, at) if at <= last else None
         if m is None:
             add(_UNFINISHED.sub("", page[at:]))
             break
@@ -105,7 +119,7 @@ def parse(page: str) -> list[Node]:
         tag, closing = m[2].lower(), bool(m[1])
         if tag in SILENT and not closing:
             if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at, last + 1)
                 at = end.end() if end else size
             continue
         if tag in INLINE:
@@ -118,24 +132,20 @@ def parse(page: str) -> list[Node]:
                 nodes[0].tokens |= _token_bits(m[3])
             continue
         if closing:
-            found = next((i for i in range(len(stack) - 1, 0, -1) if nodes[stack[i]].tag == tag), 0)
-            if found:
-                del stack[found:]
+            if found := nearest({tag}):
+                close(found)
             state["in_link"] = False
             continue
         if nodes[stack[-1]].tag == "p":
-            stack.pop()
+            close(len(stack) - 1)
         if tag in ENDS:
             own, stop = ENDS[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if nodes[stack[i]].tag in stop:
-                    break
-                if nodes[stack[i]].tag in own:
-                    del stack[i:]
-                    break
+            if (found := nearest(own)) > nearest(stop):
+                close(found)
         nodes.append(Node(tag, stack[-1], nodes[stack[-1]].depth + 1, _token_bits(m[3])))
         nodes[stack[-1]].children.append(len(nodes) - 1)
         if not m[3].rstrip().endswith("/"):
+            places.setdefault(tag, []).append(len(stack))
             stack.append(len(nodes) - 1)
     flush()
     return nodes
@@ -143,12 +153,17 @@ def parse(page: str) -> list[Node]:
 
 NUMBERS = 19
 #: Blocks in the main part of the long pages that are trained on besides the others.
-LONG_PAGES = (64, 80, 96, 120, 150, 180, 220, 300) * 2
+LONG_PAGES = (40, 64, 80, 96, 120, 150, 180, 220) * 3
 WIDTH = NUMBERS + 2 * len(TAGS) + 2 * TOKENS
 
 
 def features(nodes: list[Node]) -> np.ndarray:
     """A row of features for every node."""
+    return np.concatenate(list(feature_blocks(nodes)))
+
+
+def feature_blocks(nodes: list[Node]) -> Iterator[np.ndarray]:
+    """Rows of features for every node, ``HOLD`` at once."""
     n = len(nodes)
     chars, links, marks, tags, runs = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
     for i in range(n - 1, -1, -1):
@@ -162,9 +177,8 @@ def features(nodes: list[Node]) -> np.ndarray:
             for own in (chars, links, marks, tags, runs):
                 own[x.parent] += own[i]
     whole = max(1, chars[0])
-    numbers, flags = np.zeros((n, NUMBERS), dtype=np.float32), np.zeros((n, 2 * len(TAGS)), dtype=bool)
-    own_bits, above_bits = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
-    above_tags = np.zeros((n, len(TAGS)), dtype=bool)
+    numbers = np.zeros((min(n, HOLD), NUMBERS), dtype=np.float32)
+    own_bits, above_bits, own_tags, above_tags = (np.zeros(n, dtype=np.uint64) for _ in range(4))
     before = 0
     starts = [0] * n
     for i, x in enumerate(nodes):
@@ -183,22 +197,20 @@ def features(nodes: list[Node]) -> np.ndarray:
         prev, nxt = (siblings[place - 1] if place else -1), (siblings[place + 1] if place + 1 < len(siblings) else -1)
         log = math.log1p
         c, up = chars[i], chars[p] if p >= 0 else whole
-        numbers[i] = (
+        numbers[i % HOLD] = (
             x.depth, log(c), links[i] / max(1, c), marks[i] / max(1, c), c / (tags[i] + 1), c / max(1, runs[i]), log(tags[i]), c / whole, starts[i] / whole,
             place, len(siblings), same / len(siblings), c / max(1, up), log(up), links[p] / max(1, up) if p >= 0 else 0,
             log(chars[prev]) if prev >= 0 else -1, log(chars[nxt]) if nxt >= 0 else -1, links[prev] / max(1, chars[prev]) if prev >= 0 else -1, len(x.children),
         )
-        if (t := TAG_AT.get(x.tag)) is not None:
-            flags[i, t] = True
+        own_tags[i] = _TAG_BITS.get(x.tag, 0)
         own_bits[i] = x.tokens
         if p >= 0:
             above_bits[i] = above_bits[p] | own_bits[p]
-            above_tags[i] = above_tags[p]
-            if (t := TAG_AT.get(nodes[p].tag)) is not None:
-                above_tags[i, t] = True
-    flags[:, len(TAGS) :] = above_tags
-    spread = lambda bits: np.unpackbits(bits.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    return np.concatenate((numbers, flags, spread(own_bits), spread(above_bits)), axis=1, dtype=np.float32)
+            above_tags[i] = above_tags[p] | own_tags[p]
+        if i % HOLD == HOLD - 1 or i == n - 1:
+            part = slice(i - i % HOLD, i + 1)
+            spread = [np.unpackbits(bits[part].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little", count=c) for bits, c in ((own_tags, len(TAGS)), (above_tags, len(TAGS)), (own_bits, TOKENS), (above_bits, TOKENS))]
+            yield np.concatenate((numbers[: i % HOLD + 1], *spread), axis=1, dtype=np.float32)
 
 
 @dataclass
@@ -223,16 +235,16 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.3, bins: int = 16, l2: float = 1.0) -> Trees:
-    """Fit by second-order boosting of the logistic loss over binned features."""
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) if j < NUMBERS else np.array([0.5]) for j in range(x.shape[1])]
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.3, bins: int = 16, l2: float = 1.0) -> Trees:
+    """Fit by second-order boosting of the logistic loss over binned numbers and flags."""
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(NUMBERS)]
     binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)  # x > cut k  <=>  bin > k
-    used = np.flatnonzero(binned.max(axis=0) > binned.min(axis=0))
-    codes = binned[:, used] + bins * np.arange(used.size)
+    codes = binned + bins * np.arange(NUMBERS)
+    flags = np.ascontiguousarray(x[:, NUMBERS:])
     inner = (1 << depth) - 1
     share = float((weight * y).sum() / weight.sum())
     base = math.log(share / (1 - share))
-    margin = np.full(len(x), base)
+    margin, rows = np.full(len(x), base), np.arange(len(x))
     model = Trees(base, np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, inner + 1)))
     for t in range(trees):
         p = 1 / (1 + np.exp(-margin))
@@ -240,22 +252,26 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 40, dep
         at = np.zeros(len(x), dtype=np.int64)
         for level in range(depth):
             first, count = (1 << level) - 1, 1 << level
-            key = ((at - first)[:, None] * (bins * used.size) + codes).ravel()
-            shape = (count, used.size, bins)
-            gs = np.bincount(key, np.repeat(g, used.size), minlength=math.prod(shape)).reshape(shape)
-            hs = np.bincount(key, np.repeat(h, used.size), minlength=math.prod(shape)).reshape(shape)
-            gl, hl = gs.cumsum(axis=2)[..., :-1], hs.cumsum(axis=2)[..., :-1]
-            gt, ht = gs.sum(axis=2)[..., None], hs.sum(axis=2)[..., None]
+            place = at - first
+            key = (place[:, None] * (bins * NUMBERS) + codes).ravel()
+            shape = (count, NUMBERS, bins)
+            gs, hs = (np.bincount(key, np.repeat(v, NUMBERS), minlength=math.prod(shape)).reshape(shape) for v in (g, h))
+            gt, ht = gs[:, 0].sum(axis=1)[:, None], hs[:, 0].sum(axis=1)[:, None]
+            spread = np.zeros((len(x), 2 * count), np.float32)
+            spread[rows, place], spread[rows, count + place] = g, h
+            right = spread.T @ flags  # sums over the rows whose flag is set
+            gl = np.concatenate((gs.cumsum(axis=2)[..., :-1].reshape(count, -1), gt - right[:count]), axis=1)
+            hl = np.concatenate((hs.cumsum(axis=2)[..., :-1].reshape(count, -1), ht - right[count:]), axis=1)
             gain = gl**2 / (hl + l2) + (gt - gl) ** 2 / (ht - hl + l2) - gt**2 / (ht + l2)
             gain[(hl < 0.5) | (ht - hl < 0.5)] = -1
-            flat = gain.reshape(count, -1)
-            best = flat.argmax(axis=1)
-            for node in range(count):
-                if flat[node, best[node]] > 1e-6:
-                    j, k = divmod(int(best[node]), bins - 1)
-                    model.feature[t, first + node] = used[j]
-                    model.threshold[t, first + node] = cuts[used[j]][k]
-            at = 2 * at + 1 + (x[np.arange(len(x)), model.feature[t, at]] > model.threshold[t, at])
+            for node, best in enumerate(gain.argmax(axis=1).tolist()):
+                if gain[node, best] > 1e-6:
+                    j, k = divmod(best, bins - 1) if best < NUMBERS * (bins - 1) else (best - NUMBERS * (bins - 2), -1)
+                    if k >= 0 and k >= len(cuts[j]):
+                        continue
+                    model.feature[t, first + node] = j
+                    model.threshold[t, first + node] = cuts[j][k] if k >= 0 else 0.5
+            at = 2 * at + 1 + (x[rows, model.feature[t, at]] > model.threshold[t, at])
         leaf = at - inner
         model.value[t] = -rate * np.bincount(leaf, g, minlength=inner + 1) / (np.bincount(leaf, h, minlength=inner + 1) + l2)
         margin += model.value[t, leaf]
@@ -278,11 +294,27 @@ def decode(nodes: list[Node], margins: np.ndarray) -> str:
     return "\n".join(out)
 
 
+def _texts(pages: list[list[Node]], trees: Trees) -> list[str]:
+    """The main texts of parsed pages; small pages are judged together, and a large one in blocks."""
+    margins, waiting, held = [], 0, []
+    for block in (block for nodes in pages for block in feature_blocks(nodes)):
+        held.append(block)
+        waiting += len(block)
+        if waiting >= HOLD:
+            margins.append(trees.margins(np.concatenate(held)))
+            held, waiting = [], 0
+    margins = np.concatenate([*margins, *([trees.margins(np.concatenate(held))] if held else [])])
+    ends = np.cumsum([len(n) for n in pages])
+    return [decode(n, margins[e - len(n) : e]) for n, e in zip(pages, ends, strict=True)]
+
+
 class _Page:
     """A generated page; what is put between ``MAIN`` marks is main text."""
 
     def __init__(self, seed: int) -> None:
         self.r = random.Random(seed)
+        #: Share of the blocks that have few words.
+        self.brief = self.r.choice([0.05, 0.15, 0.15, 0.6, 1.0])
 
     def words(self, low: int, high: int, stop: bool = False) -> str:
         r = self.r
@@ -290,7 +322,7 @@ class _Page:
         for i in range(len(own) - 1):
             if stop and r.random() < 0.15:
                 own[i] += r.choice([".", ",", ".", ";"])
-        return " ".join(own).capitalize() + ("." if stop else "")
+        return " ".join(own).capitalize() + (r.choice(".....,!?:") if stop else "")
 
     def named(self, tag: str, names: list[str], inner: str, bare: float = 0.2) -> str:
         r = self.r
@@ -298,12 +330,12 @@ class _Page:
         return f"<{tag}{which}>{inner}</{tag}>"
 
     def linked(self, low: int, high: int) -> str:
-        items = [f'<a href="/{i}">{self.words(1, 3)}</a>' for i in range(self.r.randint(low, high))]
+        items = [f'<a href="/{i}">{self.words(1, 3, self.r.random() < 0.3)}</a>' for i in range(self.r.randint(low, high))]
         return f"<ul>{''.join(f'<li>{x}</li>' for x in items)}</ul>" if self.r.random() < 0.7 else " | ".join(items)
 
     def prose(self) -> str:
         r, kind = self.r, self.r.random()
-        own = self.words(1, 3, True) if r.random() < 0.15 else self.words(4, r.choice([15, 60, 200]), True)
+        own = self.words(1, 3, r.random() < 0.7) if r.random() < self.brief else self.words(4, r.choice([9, 15, 60, 200]), True)
         if kind < 0.72:
             return f"<p>{own}</p>" if r.random() < 0.8 else f"<p><b>{own}<br>" if r.random() < 0.5 else f'<p>{own} <a href="/x">{self.words(1, 4)}</a> {self.words(3, 20, True)}</p>'
         if kind < 0.8:
@@ -353,12 +385,12 @@ class _Page:
         if r.random() < 0.25:  # boilerplate inside of the article
             main = main.replace("</p>", f"</p><i data-end>{self.extras('in')}<i data-main>", 1)
         kind = r.random()
-        if kind < 0.5:
+        if kind < 0.4:
             main = f"<article>{main}</article>"
-        elif kind < 0.65:
+        elif kind < 0.5:
             main = f"<main>{main}</main>"
-        else:
-            main = self.named(r.choice(["div", "section", "div"]), ["content", "post", "entry", "article", "story", "post-content", "main", "text", "article-body"], main, 0.1)
+        elif kind < 0.88:
+            main = self.named(r.choice(["div", "section", "div"]), ["content", "post", "entry", "article", "story", "post-content", "main", "text", "article-body", "body", "page-content"], main, 0.5)
         if r.random() < 0.2:
             main = self.named("div", ["container", "wrapper", "page", "main", "row"], main)
         body = self.extras("top") + (self.extras("side") if r.random() < 0.5 else "") + main + self.extras("bottom")
@@ -395,7 +427,7 @@ def _without_empty(nodes: list[Node], labels: np.ndarray) -> tuple[list[Node], n
     return out, labels[keep]
 
 
-def train(pages: int = 400, seed: int = 1000) -> Trees:
+def train(pages: int = 700, seed: int = 1000) -> Trees:
     """Trees from generated pages; each page weighs the same."""
     found = [labelled_page(seed + i) for i in range(pages)]
     found += [labelled_page(seed + pages + i, blocks) for i, blocks in enumerate(LONG_PAGES)]
@@ -413,12 +445,13 @@ def extract(pages: DataFrame, model: Trees | None = None, id_col: str = "page_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
         for b in batches:
-            texts = []
-            for at in range(0, b.num_rows, 64):
-                parsed = [parse(h.as_py() or "") for h in b.column(2).slice(at, 64)]
-                margins = trees.margins(np.concatenate([features(n) for n in parsed]))
-                ends = np.cumsum([len(n) for n in parsed])
-                texts += [decode(n, margins[e - len(n) : e]) for n, e in zip(parsed, ends, strict=True)]
+            texts, held, waiting = [], [], 0
+            for n, cell in enumerate(b.column(2), 1):
+                held.append(parse(cell.as_py() or ""))
+                waiting += len(held[-1])
+                if waiting >= HOLD or n == b.num_rows:
+                    texts += _texts(held, trees)
+                    held, waiting = [], 0
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     given = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))

@@ -3,7 +3,9 @@
 import hashlib
 import itertools
 import random
+import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -441,8 +443,8 @@ def test_toxicity_of_odd_tables(spark, odd, empty):
     assert toxicity.score(empty, toxicity.learn(empty, labels)).count() == 0
 
 
-def test_generated_pages_held_out():
-    model = html_text.train(pages=200)
+def test_generated_pages_held_out(trees):
+    model = trees
     exact = 0
     for seed in range(90_000, 90_060):
         nodes, labels = html_text.labelled_page(seed)
@@ -464,8 +466,8 @@ def test_features_of_many_siblings():
         assert np.allclose(got[:, 15], [-1, *log[:-1]]) and np.allclose(got[:, 16], [*log[1:], -1])
 
 
-def test_long_generated_pages_held_out():
-    model = html_text.train(pages=200)
+def test_long_generated_pages_held_out(trees):
+    model = trees
     kept = wrong = total = 0
     for seed, blocks in zip(range(91_000, 91_016), (64, 100, 185, 400) * 4):
         nodes, labels = html_text.labelled_page(seed, blocks)
@@ -478,6 +480,61 @@ def test_long_generated_pages_held_out():
     assert kept >= 0.97 * total and wrong <= 0.01 * total
 
 
+@pytest.fixture(scope="module")
+def trees():
+    return html_text.train()
+
+
+@pytest.mark.parametrize("wrap", ["div", "section", 'div class="x1"', "article", "main", None])
+def test_articles_in_any_wrapper(trees, wrap):
+    """A heading and eighty paragraphs of 3 to 60 words; nothing names them as the article."""
+    r, kept, heads = random.Random(5), 0, 0
+    words = lambda n: " ".join("".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 4))) for _ in range(n)).capitalize()
+    for _ in range(5):
+        head, parts = words(5), [words(r.choice([3, 8, 30, 60])) + "." for _ in range(80)]
+        inner = f"<h1>{head}</h1>" + "".join(f"<p>{p}</p>" for p in parts)
+        inner = f"<{wrap}>{inner}</{wrap.split()[0]}>" if wrap else inner
+        page = f"<html><body><nav><a href=/>{words(1)}</a><a href=/b>{words(2)}</a></nav>{inner}<footer>&copy; {words(4)}</footer></body></html>"
+        got = html_text._texts([html_text.parse(page)], trees)[0].split("\n")
+        assert set(got) <= {head, *parts}
+        kept += len(set(got) & set(parts))
+        heads += head in got
+    assert kept >= 0.97 * 400 and heads >= 4
+
+
+@pytest.mark.parametrize(
+    "page",
+    ['<a href="x>text</a> ' * 50_000, "<p title='a>word " * 60_000, "<a " * 350_000, "<!" * 500_000, "<div>" * 100_000 + "</x>" * 100_000, "<li><ul>" + "<div>" * 50_000 + "<li></li>" * 50_000,
+     "</script" * 60_000 + "<script>" + "</script" * 60_000, "<!-- " * 200_000, "<a b=" * 200_000 + ">", "<p>x" * 100_000, "a < b " * 200_000],
+)
+def test_hostile_pages_take_time_in_proportion(trees, page):
+    began = time.process_time()
+    text = html_text._texts([html_text.parse(page)], trees)[0]
+    assert time.process_time() - began < 30 and "<p" not in text and "href" not in text
+
+
+def test_broken_quotes_leave_no_markup(trees):
+    for inner in ('<a href="x>two</a>', '<a href="x>two</a> <b title="y">and</b>', "<a href='x y>two</a>", '<a title="a > b">two</a>', '<a title=\'"\' rel=">">two</a>'):
+        text = html_text._texts([html_text.parse(f"<article><p>One {inner} three more words that make a paragraph, indeed.</p></article>")], trees)[0]
+        assert text in ("One two three more words that make a paragraph, indeed.", "One two and three more words that make a paragraph, indeed.")
+
+
+def test_blocks_of_features_are_those_of_the_whole(trees, monkeypatch):
+    nodes, _ = html_text.labelled_page(77, 120)
+    whole, text = html_text.features(nodes), html_text._texts([nodes], trees)
+    monkeypatch.setattr(html_text, "HOLD", 7)
+    assert (html_text.features(nodes) == whole).all() and html_text._texts([nodes], trees) == text and html_text._texts([nodes, html_text.parse(""), nodes], trees) == [*text, "", *text]
+
+
+def test_main_text_of_the_pages_is_their_article(spark, sf, trees):
+    """Every page of the table, against its article element cut out with a pattern."""
+    pages = table(spark, sf, "pages")
+    got = {r.page_id: r.text for r in html_text.extract(pages, trees).collect()}
+    rows = [(r.page_id, re.search(r"<article[^>]*>(.*?)</article>", r.html, re.S)) for r in pages.collect() if r.html]
+    want = {i: "\n".join(n.text for n in html_text.parse(m[1]) if n.tag == html_text.TEXT) for i, m in rows if m}
+    assert len(want) > 100 and sum(got[i] == t for i, t in want.items()) >= 0.995 * len(want)
+
+
 def test_page_text_of_odd_pages(spark, data):
     pages = table(spark, data, "pages").limit(5).union(spark.createDataFrame([(900, None, None), (901, "u", ""), (901, "u", ""), (902, None, "<p>a <b"), (903, "", "<table><tr><td>&lt;x&gt; &nbsp; y</table></div></p>" * 40)], "page_id long, url string, html string"))
     rows = {r.page_id: r for r in html_text.extract(pages.withColumn("text", F.lit("clash"))).collect()}
