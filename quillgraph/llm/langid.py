@@ -3,12 +3,13 @@
 A text's UTF-8 bytes are read in windows of ``WINDOW``. In each window one recurrent unit runs
 forward and one backward; at every position both states give a probability for each language,
 and a document's probabilities are the means over all of its positions. The network is trained
-here by backpropagation through time with Adam, on one stretch of text of each of at most
-``LEARN_DOCS`` documents a language, chosen by the hash of their ids.
+here by backpropagation through time with Adam, on whole texts: of each language those of at most
+``LEARN_DOCS`` documents, in the order of the hash of their ids, that fit in ``LEARN_BYTES`` together, and the
+shortest if none fits.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, and any text where
 nothing could be learned. Of equal probabilities the first language by name wins. Repeated rows
-are all returned.
+are all returned. Columns besides id, text and language are ignored. More than ``LANGUAGES`` raise an error.
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
 from quillgraph.llm.common import Carried, bound_batches, hash_unit, held_out
 
 WINDOW, HIDDEN = 64, 8
-#: Documents of each language to learn from, characters of each, and languages, at most.
-LEARN_DOCS, LEARN_CHARS, LANGUAGES = 400, 320, 64
+#: Documents of each language to learn from, and bytes of them, at most. More languages than these raise an error, as each takes outputs at every position.
+LEARN_DOCS, LEARN_BYTES, LANGUAGES = 400, 400_000, 512
 #: Windows that are read at once.
 LANES = 4096
 UNKNOWN = "und"
@@ -166,22 +168,31 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A network from documents with a language that are not held out; None if there are none."""
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = given.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = known.groupBy("lang").count().orderBy("lang").limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages; group them first")
     if not sizes:
         return None
     share = F.lit(0.0)
     for r in sizes:
         share = F.when(F.col("lang") == r["lang"], min(1.0, LEARN_DOCS / r["count"])).otherwise(share)
-    chosen = known.where(hash_unit(F.col("doc_id"), F.lit(3)) < share).where(F.length("text") > 0)
-    room = F.greatest(F.lit(1), F.length("text") - LEARN_CHARS + 1)
-    stretch = F.substring("text", (F.floor(hash_unit(F.col("doc_id"), F.lit(5)) * room) + 1).cast("int"), F.lit(LEARN_CHARS))
-    rows = chosen.select("doc_id", "lang", stretch.alias("t"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "t").limit(2 * LEARN_DOCS * len(sizes)).collect()
-    texts = [(r.t.encode(), r.lang) for r in rows if r.t and _LETTER(r.t)]
+    sampled = known.where((hash_unit(F.col("doc_id"), F.lit(3)) < share) & (F.length("text") > 0)).withColumn("h", F.xxhash64("doc_id", "text"))
+    room: dict[str, int] = {}
+    chosen: list[int] = []
+    found = sampled.select("lang", "h", F.octet_length("text").alias("n")).distinct().orderBy("h", "lang").limit(2 * LEARN_DOCS * len(sizes)).collect()
+    for r in found:
+        if r.n <= room.setdefault(r.lang, LEARN_BYTES):
+            room[r.lang] -= r.n
+            chosen.append(r.h)
+    chosen += [min((r.n, r.h) for r in found if r.lang == lang)[1] for lang, left in room.items() if left == LEARN_BYTES]
+    picked = F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in sorted(set(chosen))], "h long"))  # at most LEARN_DOCS a language, twice
+    rows = sampled.join(picked, "h", "left_semi").select("lang", "h", "text").distinct().orderBy("h", "lang", "text").collect()
+    texts = [(r.text.encode(), r.lang) for r in rows if _LETTER(r.text)]
     return train([t for t, _ in texts], [v for _, v in texts]) if texts else None
 
 
-def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every row; with ``carry``, those columns, lang_pred and score."""
+def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, keep: Column | None = None) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) for every row; with ``carry``, those columns of the rows for which ``keep``, a condition on the former, holds."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed number of weights a language
 
@@ -202,4 +213,4 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
 
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(F.col(id_col)).alias("held_out"), *carried.given)
     out = given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double" + carried.schema)
-    return out.select(*carried.restored(), "lang_pred", "score") if carry else out.select(F.col("doc_id").alias(id_col), "held_out", "lang_pred", "score")
+    return out.where(F.lit(True) if keep is None else keep).select(*carried.restored()) if carry else out.select(F.col("doc_id").alias(id_col), "held_out", "lang_pred", "score")

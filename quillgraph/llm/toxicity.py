@@ -277,7 +277,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, carry: list[str] | None = None) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row; with ``carry``, those columns and predicted."""
+    """(doc_id, held_out, score, predicted) for every row; with ``carry``, those columns of the rows that are not predicted toxic."""
     spark = docs.sparkSession
     bound_batches(spark)
     active = np.flatnonzero((machine.w != 0) | (machine.v != 0).any(axis=1))
@@ -298,4 +298,4 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(F.col(id_col)).alias("held_out"), *carried.given)
     out = given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double" + carried.schema)
     judged = (F.col("score") >= threshold).cast("int").alias("predicted")
-    return out.select(*carried.restored(), judged) if carry else out.select(F.col("doc_id").alias(id_col), "held_out", "score", judged)
+    return out.where(F.col("score") < threshold).select(*carried.restored()) if carry else out.select(F.col("doc_id").alias(id_col), "held_out", "score", judged)

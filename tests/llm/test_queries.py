@@ -71,3 +71,37 @@ def test_near_dedup_keeps_rows_that_share_an_id_but_no_text(spark):
     assert len(seen) == 1
     got = list(seen.pop())
     assert len(got) == 4 and {rows[0], rows[5], rows[6]} < set(got) and sum(t.startswith("b0") for _, t, _ in got) == 1
+
+
+def test_language_stage_drops_texts_near_chance_and_keeps_clean_ones(spark):
+    """Texts of either language stay; one whose positions are split between both goes, as does one without letters."""
+    words = lambda i, stem: " ".join(f"{stem}{'abcdefghij'[random.Random(i * 100 + j).randrange(10)]}" for j in range(40))
+    clean = [(i, words(i, "the w") if i % 2 else words(i, "le mot"), "en" if i % 2 else "fr") for i in range(200)]
+    split = [(300 + i, " ".join(x for j in range(60) for x in (words(j, "the w"), words(j, "le mot"))), None) for i in range(3)]
+    docs = spark.createDataFrame(clean + split + [(400, "12 34", "en")], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_unknown_language(spark, docs, "").collect()}
+    assert kept == {r[0] for r in clean}
+    assert corpus_pipeline.least_language_score(4) == pytest.approx(0.4) and corpus_pipeline.least_language_score(1) == 0.0
+
+
+def test_pipeline_of_empty_and_odd_tables(spark, tmp_path):
+    """Empty tables, null columns, repeated ids and rows, and names that clash with the operators' own."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, held_out string, row int, component string, rate double, p int"
+    words = " ".join(f"word{j}" for j in "abcdefghij" for _ in range(5))
+    rows = [(i, f"{words} {'abcdefgh'[i % 8] * 5} {i}", "en", None, None, 1.5, "x", 1, "c", 2.5, 7) for i in range(40)]
+    rows += [(1, words + " another text with the same id", "en", None, 3, None, None, None, None, None, None), rows[2], rows[2], (None, None, None, None, None, None, None, None, None, None, None), (None, "no id " + words, None, None, None, None, None, None, None, None, None)]
+    for name, some in (("empty", []), ("odd", rows)):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(some, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        columns = docs.columns
+        for stage_name, stage in corpus_pipeline.STAGES[:4]:
+            stage(spark, docs, folder).write.parquet(f"{folder}/{stage_name}")
+            docs = spark.read.parquet(f"{folder}/{stage_name}")
+            assert docs.columns == columns
+        out = corpus_pipeline.run(spark, folder)
+        assert (out.count() > 0) == bool(some)
+        if some:
+            assert {r.score for r in docs.where("doc_id = 5").collect()} <= {1.5}
+            assert docs.where("doc_id is null and text is not null").count() >= 1
