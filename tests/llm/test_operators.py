@@ -87,6 +87,17 @@ def test_near_copies_of_jaccard_one_half_to_one_match_brute_force(spark):
     assert {r.doc_id: r.component_id for r in near.near_duplicates(df).collect()} == dict(enumerate(want))
 
 
+def test_signatures_never_rule_out_a_similar_pair():
+    r = np.random.default_rng(2)
+    for n in (1, 3, 40, 64, 65, 500, 4000):
+        a = np.unique(r.integers(-(1 << 62), 1 << 62, n))
+        for share in (0.0, 0.05, 0.3, 1.0):
+            b = np.unique(np.where(r.random(a.size) < share, r.integers(-(1 << 62), 1 << 62, a.size), a)[: max(1, int(a.size * r.uniform(0.7, 1)))])
+            differ = np.setxor1d(a, b).size
+            assert near.differing(near.signature(a), near.signature(b)) <= differ
+    assert near.differing(near.signature(a), near.signature(np.sort(r.integers(-(1 << 62), 1 << 62, 4000)))) > 1000
+
+
 # SimHash
 
 
