@@ -1,4 +1,4 @@
-"""Mean of in-neighbours' features: plain, and fused with decoding so that codes are counted before they are decoded.
+"""Mean of in-neighbours' features: plain, and fused with decoding, so that only codes are shuffled.
 
 Parallel edges count with their number; a dst without edges has zeros. Edges are first counted by
 (dst, src), so a feature row meets each dst once.
@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from quillgraph.operators.sq import Codebook, decode_value
+from quillgraph.operators.bitpack import unpack
+from quillgraph.operators.sq import Codebook, decode_expr, decode_table, decode_value
 
 #: Dimensions up to which the sums of a vector are separate buffers of one aggregate.
 WIDE = 256
@@ -46,10 +47,21 @@ def spmm_vq(edges: DataFrame, codes: DataFrame, book: DataFrame, dim: int, width
 
 
 def spmm_sq(edges: DataFrame, packed: DataFrame, book: Codebook, bits: int, dim: int) -> DataFrame:
-    """(dst, j, x) from packed bytes (bits < 8) or codes: equal bytes of a dst are counted, then unpacked and decoded once."""
-    met = edge_counts(edges).join(packed.select(F.col("node_id").alias("src"), "packed"), "src").select("dst", "n", F.posexplode("packed").alias("b", "byte"))
-    counts = met.groupBy("dst", "b", "byte").agg(F.sum("n").alias("n"))
+    """(dst, feat) from packed bytes (bits < 8) or codes: what is shuffled is packed, and each component is decoded where it is summed."""
+    met = edge_counts(edges).join(packed.select(F.col("node_id").alias("src"), "packed"), "src")
     per = 8 // bits if bits < 8 else 1
-    parts = [F.struct((F.col("b") * per + i).alias("j"), (F.shiftright("byte", bits * i).bitwiseAND(F.lit((1 << bits) - 1)) if per > 1 else F.col("byte")).alias("q")) for i in range(per)]
-    codes = counts.select("dst", "n", F.explode(F.array(*parts)).alias("s")).select("dst", "n", F.col("s.j").alias("j"), F.col("s.q").alias("q")).where(F.col("j") < dim)
-    return codes.groupBy("dst", "j").agg((F.sum(F.col("n") * decode_value(F.col("q"), F.col("j"), book, bits)) / F.sum("n")).alias("x"))
+
+    def value(j: int) -> Column:
+        byte = F.element_at("packed", j // per + 1)
+        code = F.shiftright(byte, bits * (j % per)).bitwiseAND(F.lit((1 << bits) - 1)) if per > 1 else byte
+        if bits >= 8:
+            return decode_value(code, F.lit(j), book, bits)
+        return F.element_at(F.array(*map(F.lit, decode_table(book, j // book.column_slice, bits))), code + 1)
+
+    if dim <= WIDE:
+        sums = met.groupBy("dst").agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * value(j)).alias(f"s{j}") for j in range(dim)])
+        return sums.select("dst", F.array(*[F.col(f"s{j}") / F.col("n") for j in range(dim)]).alias("feat"))
+    codes = unpack(F.col("packed"), dim, bits) if per > 1 else F.col("packed")
+    decoded = met.select("dst", "n", F.posexplode(decode_expr(codes, book, bits)).alias("j", "x"))
+    each = decoded.groupBy("dst", "j").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("m"))
+    return each.groupBy("dst").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "m"))), lambda s: s["m"]).alias("feat"))

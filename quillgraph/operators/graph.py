@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillgraph.functions.lineage import cut
+
 
 def bidirect(edges: DataFrame) -> DataFrame:
     """Edges and their reverses, parallel ones collapsed."""
@@ -33,7 +35,7 @@ def in_degree(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 def prefix_sum(rows: DataFrame, order: list, value: str, name: str) -> DataFrame:
     """Rows with the sum of ``value`` up to and with each row: range partitions, their totals, and a sum within each."""
     sort = [F.col(c) if isinstance(c, str) else c for c in order]
-    parts = rows.repartitionByRange(*sort).withColumn("_p", F.spark_partition_id()).persist()
+    parts = cut(rows.repartitionByRange(*sort).withColumn("_p", F.spark_partition_id()))
     starts, total = [], 0
     for r in parts.groupBy("_p").agg(F.sum(value).alias("s")).orderBy("_p").collect():  # a row a partition
         starts.append((r["_p"], int(total)))
@@ -86,3 +88,21 @@ def remote_access(seeds: DataFrame, blocks: DataFrame, bounds: DataFrame) -> Dat
     a = seeds.join(own, "rank").groupBy("rank").agg(F.sum(outside("node_id")).alias("remote_seeds"))
     b = blocks.join(own, "rank").groupBy("rank").agg(F.sum(outside("src")).alias("remote_neighbours"))
     return a.join(b, "rank", "full").select("rank", F.coalesce("remote_seeds", F.lit(0)).alias("remote_seeds"), F.coalesce("remote_neighbours", F.lit(0)).alias("remote_neighbours"))
+
+
+def local_ids(ids: DataFrame, owned: DataFrame) -> DataFrame:
+    """The distinct ids (node_id) that are among those owned."""
+    return ids.select("node_id").distinct().join(owned.select("node_id"), "node_id", "left_semi")
+
+
+def epoch_means(epochs: DataFrame, values: list[str], skip: int = 1, last: int = 5) -> DataFrame:
+    """Means of values over epochs from ``skip`` on, and of accuracy over the last epochs; rows are (epoch, accuracy, values...)."""
+    end = epochs.agg(F.max("epoch")).first()[0]
+    means = [F.avg(F.when(F.col("epoch") >= skip, F.col(v))).alias(v) for v in values]
+    return epochs.agg(*means, F.avg(F.when(F.col("epoch") > (end if end is not None else 0) - last, F.col("accuracy"))).alias("accuracy"))
+
+
+def remote_totals(counts: DataFrame, skip: int = 1) -> DataFrame:
+    """(remote_seeds, remote_neighbours) of rows (epoch, rank, ...): each rank's mean over epochs from ``skip`` on, summed over ranks."""
+    kept = counts.where(F.col("epoch") >= skip).groupBy("rank").agg(F.avg("remote_seeds").alias("a"), F.avg("remote_neighbours").alias("b"))
+    return kept.agg(F.sum("a").alias("remote_seeds"), F.sum("b").alias("remote_neighbours"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -79,6 +80,16 @@ def decode_value(q: Column, j: Column, book: Codebook, bits: int) -> Column:
     return F.signum(v) * F.pow(F.lit(2.0), F.abs(v) * (emax - emin) / half + emin)
 
 
+def decode_table(book: Codebook, cb: int, bits: int) -> list[float]:
+    """The values of all codes of a slice, from the least code."""
+    _, _, emin, emax, mean = book.rows[cb]
+    half = 1 << (bits - 1)
+    if bits == 1:
+        return [-mean, mean]
+    steps = [q - half + 0.5 for q in range(2 * half)]
+    return [math.copysign(2.0 ** (abs(v) * (emax - emin) / half + emin), v) for v in steps]
+
+
 def decode_expr(codes: Column, book: Codebook, bits: int) -> Column:
     """Vector of an array of codes."""
     return F.transform(codes, lambda q, j: decode_value(q, j, book, bits))
@@ -94,6 +105,11 @@ def decode(codes: DataFrame, book: Codebook, bits: int) -> DataFrame:
     return codes.select("node_id", decode_expr(F.col("codes"), book, bits).alias("feat"))
 
 
+def storage_type(bits: int) -> str:
+    """The smallest column type that holds codes of this width, or bytes of packed ones."""
+    return "smallint" if bits != 8 else "tinyint"
+
+
 def compress(features: DataFrame, column_slice: int, bits: int, **how) -> tuple[Codebook, DataFrame, int]:
     """Codebook, codes and dimension of a feature table."""
     book = codebook(features, column_slice, **how)

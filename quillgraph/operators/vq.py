@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.functions.lineage import cut
 from quillgraph.functions.vectors import dimension, l2_norm
 from quillgraph.operators import kmeans, sampling
 
@@ -22,8 +23,20 @@ def rim_filter(rows: DataFrame, width: int) -> DataFrame:
 def codebook(features: DataFrame, width: int, n_clusters: int, hotness: DataFrame | None = None, tol: float = 5e-2, max_iter: int = 300, seed: str = "vq") -> DataFrame:
     """(cb, code, center): trained on a bounded sample without the rim, at even length."""
     chosen = sampling.uniform(features, SAMPLE_ROWS, seed) if hotness is None else sampling.weighted(features.join(hotness, "node_id"), SAMPLE_ROWS, seed)
-    rows = rim_filter(kmeans.points(chosen, dimension(features), width), width).persist()
-    return kmeans.normalize_centers(kmeans.KMeans(n_clusters, "cosine", max_iter, tol, seed=seed).fit(rows).get_centers())
+    rows = cut(rim_filter(kmeans.points(chosen, dimension(features), width), width))
+    return sound(kmeans.normalize_centers(kmeans.KMeans(n_clusters, "cosine", max_iter, tol, seed=seed, init="rows").fit(rows).get_centers()))
+
+
+def sound(book: DataFrame) -> DataFrame:
+    """The codebook if no component is null or NaN."""
+    if not book.where(F.exists("center", lambda x: x.isNull() | F.isnan(x))).isEmpty():
+        raise ValueError("a codebook has components that are no numbers")
+    return book
+
+
+def code_type(n_clusters: int) -> str:
+    """The column type of cluster ids: one byte's worth up to 256, two up to 32767, else four."""
+    return "smallint" if n_clusters <= 32767 else "int"
 
 
 def encode(features: DataFrame, book: DataFrame, width: int) -> DataFrame:

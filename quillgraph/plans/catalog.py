@@ -6,6 +6,7 @@ vectors as dst, part modulo the vectors as src), labels are the vectors' labels.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import planning
 from quillgraph.functions import vectors as vec
+from quillgraph.functions.lineage import cut, shared_folder
 from quillgraph.operators import aggregate, bitpack, caching, graph, kmeans, model, sampling, sq, twolevel, vq
-from quillgraph.sources import tables
+from quillgraph.sources import codec, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -122,11 +124,11 @@ def _sq_queries(bits: int) -> None:
 
     per = 8 // bits if bits < 8 else 1
 
-    @register(f"spmm_sq_fused_b{bits}", f"WITH {_decoded_sql(bits)}, {MULTI} SELECT dst, j, round(avg(x), 6) AS x FROM multi JOIN decoded ON node_id = src GROUP BY dst, j") if bits in (1, 4, 8) else (lambda f: f)
+    @register(f"spmm_sq_fused_b{bits}", f"WITH {_decoded_sql(bits)}, {MULTI} SELECT dst, j, round(avg(x), 6) AS x FROM multi JOIN decoded ON node_id = src GROUP BY dst, j")
     def fused(spark: SparkSession, d: str) -> DataFrame:
         book, codes = _coded(spark, d, bits)
         packed = codes.select("node_id", (bitpack.pack(F.col("codes"), DIM, bits) if per > 1 else F.col("codes")).alias("packed"))
-        return aggregate.spmm_sq(_edges(spark, d, parallel=True), packed, book, bits, DIM).select("dst", F.col("j").cast("int").alias("j"), _r("x"))
+        return vec.to_long(aggregate.spmm_sq(_edges(spark, d, parallel=True), packed, book, bits, DIM), key="dst").select("dst", "j", _r("x"))
 
     if bits not in planning.PACKED_BITS:
         return
@@ -218,11 +220,11 @@ def _long_centers(centers: DataFrame) -> DataFrame:
 
 for _name, _metric, _sql in (("cosine", "cosine", COS), ("l2", "l2", L2)):
 
-    @register(f"pairwise_{_name}", f"WITH {CENTERS} SELECT a.node_id AS x_id, c.code AS y_id, round({_sql}, 6) AS d FROM sub AS a JOIN centers AS c ON a.cb = 0 AND c.cb = 0")
+    @register(f"pairwise_{_name}", f"WITH {CENTERS} SELECT a.cb AS cb, a.node_id AS x_id, c.code AS y_id, round({_sql}, 6) AS d FROM sub AS a JOIN centers AS c ON a.cb = c.cb")
     def _pairwise(spark: SparkSession, d: str, metric: str = _metric) -> DataFrame:
-        x = _points(spark, d).where("cb = 0").select(F.col("node_id").alias("id"), "v")
-        y = _centers(spark, d).where("cb = 0").select(F.col("code").alias("id"), F.col("center").alias("v"))
-        return kmeans.pairwise_distance(x, y, metric).select("x_id", "y_id", _r("d"))
+        x = _points(spark, d).select("cb", F.col("node_id").alias("id"), "v")
+        y = _centers(spark, d).select("cb", F.col("code").alias("id"), F.col("center").alias("v"))
+        return kmeans.pairwise_distance(x, y, metric).select("cb", "x_id", "y_id", _r("d"))
 
     @register(f"kmeans_assign_{_name}", f"WITH {CENTERS}, {_assign_sql('centers', _sql)} SELECT node_id, cb, code FROM assigned")
     def _assigned(spark: SparkSession, d: str, metric: str = _metric) -> DataFrame:
@@ -236,10 +238,21 @@ def _lloyd(spark: SparkSession, d: str) -> DataFrame:
 
 @register("kmeans_fit_3", f"WITH {CENTERS}, {_step_sql('centers', 's1')}, {_step_sql('s1', 's2')}, {_step_sql('s2', 's3')} {LONG_CENTERS.format('s3')}")
 def _fit(spark: SparkSession, d: str) -> DataFrame:
-    rows = _points(spark, d).persist()
+    rows = _points(spark, d)
     return _long_centers(kmeans.KMeans(K, max_iter=3, tol=0.0, centers=_centers(spark, d)).fit(rows).get_centers())
 
 
+TOL = 0.05
+SHIFT = "(SELECT max(s) * max(s) FROM (SELECT sum(sqrt(list_sum(list_transform(list_zip(a.center, b.center), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))) AS s FROM {0} AS a JOIN {1} AS b USING (cb, code) GROUP BY a.cb))"
+STEPS = ", ".join([f"WITH {CENTERS}, {_step_sql('centers', 's1')}", *[_step_sql(f"s{n}", f"s{n + 1}") for n in range(1, 6)]])
+STOP = "least(" + ", ".join(f"CASE WHEN {SHIFT.format('centers' if n == 1 else f's{n - 1}', f's{n}')} < {TOL * 1.2 ** (n - 1)!r} THEN {n} ELSE 6 END" for n in range(1, 7)) + ")"
+
+
+@register("kmeans_fit_tol", f"{STEPS}, stop AS (SELECT {STOP} AS n), reached AS (" + " UNION ALL ".join(f"SELECT cb, code, center FROM s{n}, stop WHERE n = {n}" for n in range(1, 7)) + f") {LONG_CENTERS.format('reached')}")
+def _fit_tol(spark: SparkSession, d: str) -> DataFrame:
+    return _long_centers(kmeans.KMeans(K, max_iter=6, tol=TOL, centers=_centers(spark, d)).fit(_points(spark, d)).get_centers())
+
+
 @register("kmeans_center_shift", f"WITH {CENTERS}, {_step_sql('centers', 's1')} SELECT cb, round(sum(sqrt(list_sum(list_transform(list_zip(c.center, s.center), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))), 6) AS shift FROM centers AS c JOIN s1 AS s USING (cb, code) GROUP BY cb")
 def _shift(spark: SparkSession, d: str) -> DataFrame:
     old = _centers(spark, d)
@@ -264,7 +277,7 @@ VQ = f"{CENTERS}, {_step_sql('centers', 's1')}, {NORMED.format('s1')}, {_assign_
 
 def _vq_coded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = _points(spark, d)
-    book = kmeans.normalize_centers(kmeans.lloyd_step(rows, _centers(spark, d))).persist()
+    book = cut(kmeans.normalize_centers(kmeans.lloyd_step(rows, _centers(spark, d))))
     return book, vq.encode(_features(spark, d), book, SLICE)
 
 
@@ -279,6 +292,12 @@ def _vq_decode(spark: SparkSession, d: str) -> DataFrame:
     return vec.to_long(vq.decode(codes, book, DIM)).select("node_id", "j", _r("x"))
 
 
+@register("vq_codebook")
+def _vq_codebook(spark: SparkSession, d: str) -> DataFrame:
+    """A codebook learned whole: sample, rim, iterations to the tolerance, even length; tested against a twin."""
+    return _long_centers(vq.codebook(_features(spark, d), SLICE, K))
+
+
 @register("vq_inertia", f"WITH {CENTERS}, {_assign_sql('centers')} SELECT cb, round(sum(d), 6) AS inertia FROM assigned GROUP BY cb")
 def _inertia(spark: SparkSession, d: str) -> DataFrame:
     return kmeans.inertia(kmeans.assign(_points(spark, d), _centers(spark, d))).select("cb", _r("inertia"))
@@ -306,16 +325,22 @@ def _spmm_vq(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.spmm_vq(_edges(spark, d, parallel=True), codes, book, DIM, SLICE).select("dst", "j", _r("x"))
 
 
-PLANS = [(64, 32, 8, 128, 1, False), (64, 32, 32, 128, 2, False), (128, 32, 128, 256, 1, True), (768, 16, 128, 512, 8, True), (100, 32, 4, 128, 3, True)]
+RATIOS = [(r, k, g, t) for r in (2, 4, 8, 32, 64, 128) for k in (128, 512) for g in (1, 3) for t in (False, True)]
 
 
 @register(
     "twolevel_plan",
-    """SELECT * FROM (VALUES (0, 0, 'sq', 64, 4, 0, 32), (1, 0, 'sq', 32, 1, 0, 8), (2, 0, 'sq', 128, 4, 0, 64), (2, 1, 'vq', 32, 0, 256, 4),
-(3, 0, 'sq', 96, 2, 0, 192), (3, 1, 'vq', 128, 0, 512, 12), (4, 0, 'sq', 40, 4, 0, 50), (4, 1, 'sq', 40, 8, 0, 100)) AS t(plan, level, method, column_slice, bits, n_clusters, row_bytes)""",
+    f"""WITH dim AS (SELECT max(len(embedding)) AS dim FROM embeddings), asked(plan, ratio, k, g, two) AS (VALUES {", ".join(f"({i}, {r}, {k}, {g}, {t})" for i, (r, k, g, t) in enumerate(RATIOS))}),
+wide AS (SELECT *, ceil(ceil(dim / g) / 8)::INTEGER * 8 AS slice8, (ratio // 4) * CASE WHEN k > 256 THEN 2 ELSE 1 END AS width FROM asked, dim),
+levels AS (
+  SELECT plan, 0 AS level, 'sq' AS method, slice8 AS column_slice, 4 AS bits, 0 AS n_clusters, ceil(dim * 4 / 8) AS row_bytes FROM wide WHERE two
+  UNION ALL SELECT plan, two::INTEGER, 'sq', slice8, 32 // ratio, 0, ceil(dim * (32 // ratio) / 8) FROM wide WHERE ratio <= 32
+  UNION ALL SELECT plan, two::INTEGER, 'vq', width, 0, k, ceil(dim / width) * CASE WHEN k > 256 THEN 2 ELSE 1 END FROM wide WHERE ratio > 32
+) SELECT plan::INTEGER AS plan, level::INTEGER AS level, method, column_slice::INTEGER AS column_slice, bits::INTEGER AS bits, n_clusters::INTEGER AS n_clusters, row_bytes::INTEGER AS row_bytes FROM levels""",
 )
 def _plan(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(i, x.level, x.method, x.column_slice, x.bits or 0, x.n_clusters or 0, planning.compressed_bytes(p[0], x)) for i, p in enumerate(PLANS) for x in planning.plan_codec(*p)]
+    dim = vec.dimension(_features(spark, d))
+    rows = [(i, x.level, x.method, x.column_slice, x.bits or 0, x.n_clusters or 0, planning.compressed_bytes(dim, x)) for i, (r, k, g, t) in enumerate(RATIOS) for x in planning.plan_codec(dim, 32, r, k, g, t)]
     return spark.createDataFrame(rows, "plan int, level int, method string, column_slice int, bits int, n_clusters int, row_bytes int")
 
 
@@ -341,6 +366,26 @@ def _concat(spark: SparkSession, d: str) -> DataFrame:
     return vec.to_long(twolevel.concat_decode(first, rest.where("node_id % 5 <> 0"))).select("node_id", "j", _r("x"))
 
 
+def _book_sql(name: str, rows: str) -> str:
+    return f"""{name}_raw AS (SELECT (j // {SLICE})::INTEGER AS cb, greatest(quantile_cont(abs(x), 0.005), 1e-5) AS fmin, greatest(quantile_cont(abs(x), 0.995), 2e-5) AS fmax, avg(abs(x)) AS m FROM {rows} GROUP BY 1),
+{name} AS (SELECT cb, fmin, fmax, log2(fmin) AS emin, log2(fmax) + 1e-5 AS emax, CASE WHEN m < 0.1 THEN m + 0.1 ELSE m END AS mean FROM {name}_raw)"""
+
+
+@register(
+    "codec_roundtrip",
+    f"""WITH {FEAT}, own AS (SELECT * FROM feat WHERE node_id % 5 = 0), {_book_sql('fine', 'own')}, {_book_sql('rough', 'feat')},
+coded AS (SELECT node_id, j, emin, emax, (CASE WHEN x <= 0 THEN -1 - e ELSE e END) + 0.5 AS v FROM (SELECT *, floor((log2(least(greatest(abs(x), fmin), fmax)) - emin) / (emax - emin) * 8) AS e FROM own JOIN fine ON cb = j // {SLICE}))
+SELECT node_id, j, round(sign(v) * pow(2::DOUBLE, abs(v) * (emax - emin) / 8 + emin), 6) AS x FROM coded
+UNION ALL SELECT node_id, j, round(CASE WHEN x <= 0 THEN -mean ELSE mean END, 6) FROM feat JOIN rough ON cb = j // {SLICE} WHERE node_id % 5 <> 0""",
+)
+def _codec(spark: SparkSession, d: str) -> DataFrame:
+    """Two levels planned for a ratio of 32, encoded, packed, stored, opened again and decoded."""
+    features = _features(spark, d)
+    folder = f"{shared_folder(spark)}/codec-{uuid.uuid4().hex}"
+    codec.write(codec.compress(features, 32, 32, groups=2, seeds=features.where("node_id % 5 = 0")), folder, parts=4)
+    return vec.to_long(codec.read(spark, folder).features(features)).select("node_id", "j", _r("x"))
+
+
 @register("graph_bidirect", f"WITH {MULTI} SELECT dst, src FROM multi UNION SELECT src, dst FROM multi")
 def _bidirect(spark: SparkSession, d: str) -> DataFrame:
     return graph.bidirect(_edges(spark, d, parallel=True))
@@ -475,6 +520,46 @@ def _ranks(spark: SparkSession, d: str) -> DataFrame:
     return sampling.rank_partition(_seeds(spark, d), 3).select("node_id", "rank")
 
 
+LOCAL = f"""{HOPS}, n1 AS (SELECT batch_id, src AS node_id FROM b0 EXCEPT SELECT batch_id, node_id FROM batched), n2 AS (SELECT batch_id, src AS node_id FROM b1 EXCEPT SELECT batch_id, node_id FROM b0_f),
+locals AS (SELECT batch_id, node_id, hop::INTEGER AS hop, (row_number() OVER (PARTITION BY batch_id ORDER BY hop, place) - 1)::INTEGER AS local_id FROM (
+  SELECT batch_id, node_id, 0 AS hop, pos AS place FROM batched UNION ALL SELECT batch_id, node_id, 1, node_id FROM n1 UNION ALL SELECT batch_id, node_id, 2, node_id FROM n2))"""
+
+
+def _loaded(spark: SparkSession, d: str) -> tuple[list[DataFrame], DataFrame]:
+    return sampling.loader(_batched(spark, d), _edges(spark, d), _features(spark, d), [5, 3])
+
+
+@register("loader_nodes", f"WITH {LOCAL} SELECT batch_id, local_id, node_id, hop, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM locals JOIN embeddings ON vec_id = node_id")
+def _loader_nodes(spark: SparkSession, d: str) -> DataFrame:
+    nodes = _loaded(spark, d)[1]
+    return nodes.select("batch_id", "local_id", "node_id", "hop", F.round(F.aggregate("feat", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@register(
+    "loader_blocks",
+    f"WITH {LOCAL} SELECT hop::INTEGER AS hop, b.batch_id AS batch_id, d.local_id AS dst, s.local_id AS src FROM (SELECT 0 AS hop, * FROM b0 UNION ALL SELECT 1, * FROM b1) AS b JOIN locals AS d ON b.batch_id = d.batch_id AND b.dst = d.node_id JOIN locals AS s ON b.batch_id = s.batch_id AND b.src = s.node_id".replace("SELECT hop::INTEGER AS hop, b.", "SELECT b.hop::INTEGER AS hop, b."),
+)
+def _loader_blocks(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _loaded(spark, d)[0]
+    return a.withColumn("hop", F.lit(0)).unionByName(b.withColumn("hop", F.lit(1))).select("hop", "batch_id", "dst", "src")
+
+
+def _stack_sql(block: str, h: str, out: str, dim: int, outs: int, hop: int, last: bool) -> str:
+    y = "sum(((o * 7 + j * 3) % 11 - 5)::DOUBLE / 10 * x + ((o * 5 + j * 2) % 13 - 6)::DOUBLE / 10 * coalesce(m, 0)) + (o - 4)::DOUBLE / 20"
+    return f"""{out}_m AS (SELECT b.batch_id AS batch_id, b.dst AS node_id, j, avg(x) AS m FROM {block} AS b JOIN {h} AS h ON b.batch_id = h.batch_id AND b.src = h.node_id GROUP BY 1, 2, 3),
+{out} AS (SELECT batch_id, node_id, hop, o AS j, {y if last else f"greatest({y}, 0)"} AS x FROM (SELECT h.*, m FROM {h} AS h LEFT JOIN {out}_m AS n ON h.batch_id = n.batch_id AND h.node_id = n.node_id AND h.j = n.j WHERE hop <= {hop}), range({outs}) AS t(o) GROUP BY batch_id, node_id, hop, o)"""
+
+
+@register(
+    "sage_stack",
+    f"WITH {LOCAL}, {FEAT}, h0 AS (SELECT batch_id, node_id, hop, j, x FROM locals JOIN feat USING (node_id)), {_stack_sql('b1', 'h0', 'h1', DIM, 12, 1, False)}, {_stack_sql('b0', 'h1', 'h2', 12, 10, 0, True)} SELECT batch_id, node_id, j::INTEGER AS o, round(x, 5) AS y FROM h2",
+)
+def _sage_stack(spark: SparkSession, d: str) -> DataFrame:
+    blocks, nodes = _loaded(spark, d)
+    out = model.sage_stack(blocks, nodes, [_weights_table(spark, 12), _weights_table(spark, 10, 12)], [DIM, 12])
+    return out.select("batch_id", "node_id", F.posexplode("feat").alias("o", "y")).select("batch_id", "node_id", "o", _r("y", 5))
+
+
 PRE = f"""{HOPS}, sampled AS (SELECT node_id, count(*) AS c FROM (SELECT * FROM front UNION ALL SELECT * FROM b0_f) GROUP BY 1), used AS (SELECT node_id, count(*) AS c FROM b1_f GROUP BY 1),
 pre AS (SELECT node_id, CASE WHEN node_id IN (SELECT node_id FROM seeds) THEN 1 ELSE 0 END::BIGINT AS seed_h, coalesce(s.c, 0) AS sampling_h, u.c AS feature_h FROM used AS u LEFT JOIN sampled AS s USING (node_id))"""
 
@@ -493,13 +578,30 @@ def _weights(spark: SparkSession, d: str) -> DataFrame:
     return out.select((F.round(F.col("feature_weight") / 2, 6)).alias("feature_weight"), _r("graph_weight"))
 
 
-ALLOCATIONS = [(1000, [3.0, 1.0], [2000.0, 2000.0]), (1000, [3.0, 1.0], [300.0, 2000.0]), (1000, [1.0, 1.0, 2.0], [100.0, 200.0, 5000.0]), (1000, [1.0, 1.0], [100.0, 200.0])]
+CAPACITIES = (0, 1000, 20_000, 60_000, 300_000, 100_000_000)
 
 
-@register("cache_allocate", "SELECT * FROM (VALUES (0, 0, 754), (0, 1, 254), (1, 0, 304), (1, 1, 678), (2, 0, 104), (2, 1, 204), (2, 2, 703), (3, 0, 104), (3, 1, 204)) AS t(plan, part, bytes)")
+@register(
+    "cache_allocate",
+    f"""WITH RECURSIVE {WEIGHTS}, asked AS (SELECT unnest([{", ".join(map(str, CAPACITIES))}])::DOUBLE AS capacity),
+given AS (SELECT capacity, feature_weight / 2 AS wf, graph_weight AS wg, (SELECT count(*) FROM hot) * 4.0 * {DIM} / capacity AS cf, (SELECT sum(deg) * 8 + 8 * count(*) + 8 FROM deg) / capacity AS cg FROM asked, cost WHERE capacity > 0),
+dealt(capacity, wf, wg, cf, cg, sf, sg, shut_f, shut_g, round) AS (
+  SELECT capacity, wf, wg, cf, cg, 0::DOUBLE, 0::DOUBLE, false, false, 0 FROM given
+  UNION ALL
+  SELECT capacity, wf, wg, cf, cg,
+    CASE WHEN shut_f THEN sf WHEN sf + (1 - sf - sg) * wf / (wf + wg) < cf THEN sf + (1 - sf - sg) * wf / (wf + wg) ELSE cf END,
+    CASE WHEN shut_g THEN sg WHEN sg + (1 - sf - sg) * wg / (wf + wg) < cg THEN sg + (1 - sf - sg) * wg / (wf + wg) ELSE cg END,
+    shut_f OR sf + (1 - sf - sg) * wf / (wf + wg) >= cf, shut_g OR sg + (1 - sf - sg) * wg / (wf + wg) >= cg, round + 1
+  FROM dealt WHERE round < 11 AND 1 - sf - sg > 1e-5 AND NOT (shut_f AND shut_g)
+), last AS (SELECT capacity, arg_max(sf, round) AS sf, arg_max(sg, round) AS sg FROM dealt GROUP BY capacity)
+SELECT a.capacity::BIGINT AS capacity, coalesce(floor(a.capacity * sf) + 4, 0)::BIGINT AS features, coalesce(floor(a.capacity * sg) + 4, 0)::BIGINT AS graph FROM asked AS a LEFT JOIN last USING (capacity)""".replace("avg(h::DOUBLE) * 4 *", "avg(h::DOUBLE) * 8 *"),
+)
 def _allocate(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(i, j, b) for i, a in enumerate(ALLOCATIONS) for j, b in enumerate(planning.allocate(*a))]
-    return spark.createDataFrame(rows, "plan int, part int, bytes int")
+    hot, deg = _hotness(spark, d), graph.in_degree(_edges(spark, d))
+    cost = caching.cost_weights(hot, deg, 8, DIM, 20).first()
+    limits = [hot.count() * 4.0 * DIM, float(deg.agg(F.sum("deg") * 8 + 8 * F.count("*") + 8).first()[0])]
+    rows = [(c, *planning.allocate(c, [cost.feature_weight / 2, cost.graph_weight], limits)) for c in CAPACITIES]
+    return spark.createDataFrame(rows, "capacity long, features long, graph long")
 
 
 TOP = f"{HOT}, cache AS (SELECT node_id, h FROM hot ORDER BY h DESC, node_id LIMIT {20_000 // (DIM * 4 + 10)})"
@@ -553,14 +655,18 @@ LAYER = f"""{FEAT}, {MULTI}, mean AS (SELECT dst, j, avg(x) AS m FROM multi JOIN
 layer AS (SELECT f.node_id AS node_id, o::INTEGER AS o, sum({W_SELF} * x + {W_NEIGH} * coalesce(m, 0)) + any_value({BIAS}) AS y FROM feat AS f LEFT JOIN mean ON f.node_id = dst AND f.j = mean.j, range(10) AS t(o) WHERE true GROUP BY f.node_id, o)""".replace("o * 7 + j * 3", "o * 7 + f.j * 3").replace("o * 5 + j * 2", "o * 5 + f.j * 2")
 
 
+def _weights_table(spark: SparkSession, outs: int = 10, dim: int = DIM) -> DataFrame:
+    j = F.sequence(F.lit(0), F.lit(dim - 1))
+    own, neigh = F.transform(j, lambda j: ((F.col("o") * 7 + j * 3) % 11 - 5) / 10.0), F.transform(j, lambda j: ((F.col("o") * 5 + j * 2) % 13 - 6) / 10.0)
+    return spark.range(outs).select(F.col("id").cast("int").alias("o")).select("o", own.alias("own"), neigh.alias("neigh"), ((F.col("o") - 4) / 20.0).alias("b"))
+
+
 def _layer(spark: SparkSession, d: str, activation: str | None) -> DataFrame:
     features = _features(spark, d)
     mean = aggregate.spmm_mean(_edges(spark, d, parallel=True), features, DIM, features.select(F.col("node_id").alias("dst")))
-    grid = spark.range(10 * DIM).select((F.col("id") / DIM).cast("int").alias("o"), (F.col("id") % DIM).cast("int").alias("j"))
-    a = grid.select(F.lit("self").alias("kind"), "o", "j", (((F.col("o") * 7 + F.col("j") * 3) % 11 - 5) / 10.0).alias("w"))
-    b = grid.select(F.lit("neigh").alias("kind"), "o", "j", (((F.col("o") * 5 + F.col("j") * 2) % 13 - 6) / 10.0).alias("w"))
-    bias = spark.range(10).select(F.col("id").cast("int").alias("o"), ((F.col("id") - 4) / 20.0).alias("b"))
-    return model.sage_layer(vec.to_long(features), vec.to_long(mean, key="dst").withColumnRenamed("dst", "node_id"), a.union(b), bias, activation)
+    met = features.join(mean.select(F.col("dst").alias("node_id"), F.col("feat").alias("mean")), "node_id")
+    out = model.sage_layer(met, _weights_table(spark), activation)
+    return out.select("node_id", F.posexplode("feat").alias("o", "y"))
 
 
 @register("sage_layer", f"WITH {LAYER} SELECT node_id, o, round(greatest(y, 0), 6) AS y FROM layer")

@@ -7,17 +7,34 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators.sampling import hash_unit
 
-EDGES = "src bigint, dst bigint"
-
-
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
-    """(dst, src) of a tab-separated list of src and dst, gzip or plain; header lines begin with ``#``."""
-    return spark.read.csv(path, sep="\t", schema=EDGES, comment="#").select("dst", "src")
+def read_edge_list(spark: SparkSession, path: str, skip: int = 4) -> DataFrame:
+    """(dst, src) of one tab-separated file of src and dst, gzip or plain, without its first ``skip`` lines."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("n"))
+    kept = lines.where((F.col("at") > 0) | (F.col("n") >= skip)).where("value <> ''")  # the first block of a single file begins a partition
+    parts = F.split("value", "\t")
+    return kept.select(parts[1].cast("bigint").alias("dst"), parts[0].cast("bigint").alias("src"))
+
+
+def write_partitioned_edges(edges: DataFrame, folder: str, parts: int) -> None:
+    """Edges by ranges of dst: part p holds the dsts of [p, p + 1) times the width that the table ``bounds`` names."""
+    top = edges.agg(F.max(F.greatest("dst", "src"))).first()[0]
+    width = max(1, -(-((top if top is not None else 0) + 1) // parts))
+    own = F.floor(F.col("dst") / width).cast("int")
+    edges.select("dst", "src", own.alias("part")).repartition(parts, "part").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/edges.parquet")
+    rows = [(p, p * width, (p + 1) * width) for p in range(parts)]
+    edges.sparkSession.createDataFrame(rows, "rank int, lo long, hi long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/bounds.parquet")
+
+
+def open_partitioned_edges(spark: SparkSession, folder: str, rank: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges (dst, src), of one part alone if a rank is given, which prunes the others' files; and the bounds (rank, lo, hi)."""
+    edges = spark.read.schema("dst bigint, src bigint, part int").parquet(f"{folder}/edges.parquet")
+    own = edges if rank is None else edges.where(F.col("part") == rank)
+    return own.select("dst", "src"), spark.read.parquet(f"{folder}/bounds.parquet")
 
 
 def check_schema(df: DataFrame, manifest: dict[str, str]) -> DataFrame:
