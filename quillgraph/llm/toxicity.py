@@ -42,7 +42,7 @@ LEAST_ROWS = 3
 #: Standard errors that a term's mean gradient must exceed, and that a pair's joint error must differ by from what its terms explain.
 LEAST_Z, LEAST_PAIR_Z = 3.5, 9.0
 #: Share of the squared error that the rows hold in which pairs are looked for, and columns of terms that are compared at once.
-ENERGY, BLOCK = 0.9, 2048
+ENERGY, BLOCK = 0.9, 512
 BUCKETS = 1 << 18
 FACTORS = 4
 #: Distinct pieces of text whose terms a worker keeps.
@@ -103,14 +103,17 @@ def _logistic(raw: np.ndarray) -> np.ndarray:
 
 
 class Rows:
-    """Rows of term numbers, flat."""
+    """Rows of term numbers, flat, with the row of each."""
 
-    def __init__(self, rows: list[np.ndarray], terms: int) -> None:
-        self.rows, self.terms = rows, terms
-        self.sizes = np.array([r.size for r in rows], dtype=np.int64)
-        self.idx = np.concatenate([np.zeros(0, np.int64), *rows])
-        self.row = np.repeat(np.arange(len(rows)), self.sizes)
-        self.seen = np.bincount(self.idx, minlength=terms)
+    def __init__(self, idx: np.ndarray, sizes: np.ndarray, terms: int) -> None:
+        self.idx, self.sizes, self.terms = idx, sizes, terms
+        self.ends = np.cumsum(sizes)
+        self.row = np.repeat(np.arange(sizes.size, dtype=np.int32), sizes)
+
+    @property
+    def seen(self) -> np.ndarray:
+        """The rows of each term."""
+        return np.bincount(self.idx, minlength=self.terms)
 
     def to_terms(self, values: np.ndarray) -> np.ndarray:
         """Sums of the rows' values over each term's rows."""
@@ -118,18 +121,20 @@ class Rows:
 
     def to_rows(self, values: np.ndarray) -> np.ndarray:
         """Sums of the terms' values over each row's terms."""
-        return np.bincount(self.row, values[self.idx], minlength=len(self.rows))
+        return np.bincount(self.row, values[self.idx], minlength=self.sizes.size)
 
     def only(self, terms: np.ndarray) -> Rows:
         """The rows with these terms alone, numbered anew."""
-        place = np.full(self.terms, -1)
+        place = np.full(self.terms, -1, dtype=np.int32)
         place[terms] = np.arange(terms.size)
-        moved = [place[r] for r in self.rows]
-        return Rows([m[m >= 0] for m in moved], terms.size)
+        moved = place[self.idx]
+        kept = moved >= 0
+        return Rows(moved[kept], np.bincount(self.row[kept], minlength=self.sizes.size), terms.size)
 
     def part(self, pick: np.ndarray) -> Rows:
         """Some of the rows."""
-        return Rows([self.rows[i] for i in pick], self.terms)
+        own = [self.idx[e - n : e] for e, n in zip(self.ends[pick].tolist(), self.sizes[pick].tolist(), strict=True)]
+        return Rows(np.concatenate([np.zeros(0, np.int32), *own]), self.sizes[pick], self.terms)
 
 
 def _linear(rows: Rows, labels: np.ndarray, weight: np.ndarray, rng: np.random.Generator, epochs: int = 10, batch: int = 128, rate: float = 0.1) -> tuple[float, np.ndarray]:
@@ -168,7 +173,8 @@ def _pairs(rows: Rows, error: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     marks = rows.to_terms(np.random.default_rng(0).random(by.size))  # terms in the same rows have the same mark
     cols = often[np.unique(np.round(marks[often], 6), return_index=True)[1]]
     kept = rows.only(cols)
-    own = kept.to_terms(error) / np.maximum(kept.seen, 1)
+    seen = kept.seen
+    own = kept.to_terms(error) / np.maximum(seen, 1)
 
     def dense(at: int) -> np.ndarray:
         x = np.zeros((by.size, min(BLOCK, cols.size - at)), np.float32)
@@ -183,7 +189,7 @@ def _pairs(rows: Rows, error: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
             right = left if a == b else dense(b)
             apart = (left * e).T @ right - (left.T @ right) * (own[a : a + BLOCK, None] + own[None, b : b + BLOCK] - error.mean())
             i, j = np.nonzero(np.abs(apart) >= LEAST_PAIR_Z * np.sqrt((left * e * e).T @ right + 1e-3))
-            strength = apart[i, j] / np.sqrt(kept.seen[i + a] * kept.seen[j + b])
+            strength = apart[i, j] / np.sqrt(seen[i + a] * seen[j + b])
             found += [(cols[i[i + a < j + b] + a], cols[j[i + a < j + b] + b], strength[i + a < j + b])]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
@@ -238,9 +244,9 @@ def fit(found: list[np.ndarray], labels: np.ndarray, least_steps: int = 2000, ep
     if share in (0.0, 1.0):
         return machine
     rng = np.random.default_rng(seed)
-    whole = Rows(found, BUCKETS)
-    known = np.flatnonzero(whole.seen >= LEAST_ROWS)
-    rows = whole.only(known)
+    rows = Rows(np.concatenate([np.zeros(0, np.int32), *found]), np.array([r.size for r in found], dtype=np.int64), BUCKETS)
+    known = np.flatnonzero(rows.seen >= LEAST_ROWS)
+    rows = rows.only(known)
     weight = np.where(labels > 0, min(4.0, 0.5 / share), 1.0)
     w0, w = _linear(rows, labels, weight, rng)
     v = _factors(rows, weight * (_logistic(w0 + rows.to_rows(w)) - labels), rng)
@@ -270,10 +276,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1).cast(pa.float64()), b.column(2), pa.array([terms.of(t.as_py()).tobytes() for t in b.column(3)], pa.binary())], names=["doc_id", "y", "h", "terms"])
 
     given = once.select("doc_id", "y", F.xxhash64("text").alias("h"), "text")
-    found: dict[int, tuple[float, bytes]] = {}
-    for _, y, h, t in sorted((r.doc_id, r.y, r.h, bytes(r.terms)) for r in given.mapInArrow(run, "doc_id string, y double, h bigint, terms binary").collect()):
-        found[h] = (max(y, found[h][0] if h in found else y), t)
-    return fit([np.frombuffer(t, np.int32) for _, t in found.values()], np.array([float(y > 0) for y, _ in found.values()]))
+    rows = given.mapInArrow(run, "doc_id string, y double, h bigint, terms binary").toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
+    greatest: dict[int, float] = {}
+    first: dict[int, int] = {}
+    for i, (h, y) in enumerate(zip(rows.column("h").to_pylist(), rows.column("y").to_pylist(), strict=True)):
+        greatest[h] = max(y, greatest.get(h, y))
+        first.setdefault(h, i)
+    cells = rows.column("terms").combine_chunks()
+    return fit([np.frombuffer(cells[i].as_buffer(), np.int32) for i in first.values()], np.array([float(greatest[h] > 0) for h in first]))
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, carry: list[str] | None = None) -> DataFrame:
