@@ -95,6 +95,7 @@ def test_signatures_never_rule_out_a_similar_pair():
             b = np.unique(np.where(r.random(a.size) < share, r.integers(-(1 << 62), 1 << 62, a.size), a)[: max(1, int(a.size * r.uniform(0.7, 1)))])
             differ = np.setxor1d(a, b).size
             assert near.differing(near.signature(a), near.signature(b)) <= differ
+            assert near.differing(near.signature(a, 64 * near.WORDS), near.signature(b, 64 * near.WORDS)) <= differ
     assert near.differing(near.signature(a), near.signature(np.sort(r.integers(-(1 << 62), 1 << 62, 4000)))) > 1000
 
 
