@@ -99,6 +99,19 @@ def test_signatures_never_rule_out_a_similar_pair():
     assert near.differing(near.signature(a), near.signature(np.sort(r.integers(-(1 << 62), 1 << 62, 4000)))) > 1000
 
 
+def test_long_lists_keep_every_similar_pair():
+    """Pairs of sorted ids that fit, by signatures with all bits in use: none of 0.8 or more is left out."""
+    r = np.random.default_rng(9)
+    base = np.unique(r.integers(-(1 << 62), 1 << 62, 900))
+    sets = [np.unique(np.where(r.random(base.size) < share, r.integers(-(1 << 62), 1 << 62, base.size), base)) for share in np.repeat((0.0, 0.02, 0.05, 0.08, 0.3), 12)]
+    at = np.array([(s.size, 0) for s in sets])
+    words = np.array([np.frombuffer(near.signature(s, 64 * near.WORDS), np.int64) for s in sets])
+    ids = np.arange(len(sets))
+    got = {(int(u), int(v)) for us, vs in near._pairs(ids, at, ids, words) for u, v in zip(us, vs, strict=True)}
+    similar = {(i, j) for i in range(len(sets)) for j in range(i) if np.intersect1d(sets[i], sets[j]).size >= 0.8 * np.union1d(sets[i], sets[j]).size}
+    assert similar <= got and 100 < len(got) < 0.9 * len(sets) * (len(sets) - 1) / 2
+
+
 # SimHash
 
 
