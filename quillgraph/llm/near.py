@@ -10,9 +10,10 @@ the parities of the shingles there; where two signatures differ, the sets do, so
 signatures differ in more bits than similar sets may differ in shingles is ruled out too. What is left is
 verified on the sets themselves.
 
-A long posting list first links its members to few heads; only members of different components
-after that are paired, and of these only those whose signatures, here of ``WORDS`` words whatever the set, leave
-them a chance. So a group of copies costs as many rows as it has members.
+In a long posting list a pair is a candidate if the signatures of its sets, here of ``WORDS`` words whatever the set,
+leave it a chance. The list first gives a spanning forest of its candidates, the nearest signatures
+first, which has fewer rows than members; only members of different components after that are paired.
+So a group of copies or of near copies costs as many rows as it has members.
 
 Defined results: texts of up to ``width`` words are one shingle; texts without words are near each
 other. Equal sets of shingles, and shingles, are told apart by 64-bit hashes.
@@ -20,7 +21,7 @@ other. Equal sets of shingles, and shingles, are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -109,39 +110,69 @@ def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return near & (9 * np.minimum(sa - pa_, sb - pb) >= 4 * (sa + sb))
 
 
-def _pairs(ids: np.ndarray, at: np.ndarray, parts: np.ndarray, words: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(larger, smaller) of the fitting pairs of sorted ids that are in different parts and whose signatures, if given, are near enough."""
-    step = max(1, (1 << 20) // ids.size)
-    for s in range(0, ids.size, step):
+def _near(at: np.ndarray, parts: np.ndarray, words: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place of the one, place before it, bits apart) of the fitting pairs that are in different parts and whose signatures, if given, are near enough."""
+    step = max(1, (1 << 20) // len(at))
+    for s in range(0, len(at), step):
         i, j = np.nonzero(_fits(at[s : s + step], at) & (parts[s : s + step, None] != parts[None, :]))
         i, j = (i + s)[i + s > j], j[i + s > j]
         for c in range(0, i.size, 1 << 16):
             a, b = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
+            apart = np.zeros(a.size, np.int64)
             if words is not None:
                 both = at[a, 0] + at[b, 0]
                 apart = np.bitwise_count((words[a] ^ words[b]).view(np.uint64)).sum(axis=1, dtype=np.int64)  # unsigned, as counts of signed numbers are of their magnitude
                 near = 9 * (both - apart) >= 8 * both
-                a, b = a[near], b[near]
+                a, b, apart = a[near], b[near], apart[near]
             if a.size:
-                yield ids[a], ids[b]
-
-
-def _to_heads(ids: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Each member with the first head that it fits; members that fit none become heads."""
-    rest = np.arange(ids.size)
-    while rest.size:
-        head, rest = rest[:1], rest[1:]
-        hit = _fits(at[head], at[rest])[0]
-        if hit.any():
-            yield ids[rest[hit]], np.repeat(ids[head], hit.sum())
-        rest = rest[~hit]
+                yield a, b, apart
 
 
-def _candidates(posted: DataFrame, last: bool) -> DataFrame:
-    """Of rows (key, id, at) and, if ``last``, part and the words of the signature: pairs (u, v), v < u, and unless ``last`` also the long lists' rows for the next round. ``at`` packs size and place."""
+def _pairs(ids: np.ndarray, at: np.ndarray, parts: np.ndarray, words: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(larger, smaller) of the pairs of sorted ids that ``_near`` finds."""
+    for a, b, _ in _near(at, parts, words):
+        yield ids[a], ids[b]
+
+
+def _spanning(a: np.ndarray, b: np.ndarray, groups: int) -> np.ndarray:
+    """Which of the edges (a, b) between groups join them to a forest; an edge goes before those after it."""
+    root, live, kept = np.arange(groups), np.arange(a.size), []
+    while (live := live[root[a[live]] != root[b[live]]]).size:
+        first = np.full(groups, a.size)
+        np.minimum.at(first, root[a[live]], live)
+        np.minimum.at(first, root[b[live]], live)
+        chosen = np.unique(first[first < a.size])
+        kept.append(chosen)
+        i, j = root[a[chosen]], root[b[chosen]]
+        while (open_ := root[i] != root[j]).any():
+            i, j = i[open_], j[open_]
+            np.minimum.at(root, np.maximum(root[i], root[j]), np.minimum(root[i], root[j]))
+            while (root[root] != root).any():
+                root = root[root]
+    return np.sort(np.concatenate(kept)) if kept else live
+
+
+def _forest(ids: np.ndarray, at: np.ndarray, parts: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(larger, smaller) of pairs that ``_near`` finds, which join all parts that any of them join: a forest, those of the least share of bits apart first."""
+    names, part = np.unique(parts, return_inverse=True)
+    if names.size == 1:
+        return
+    a, b, share = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    for x, y, apart in _near(at, part, words):
+        a, b, share = np.concatenate((a, x)), np.concatenate((b, y)), np.concatenate((share, apart / (at[x, 0] + at[y, 0])))
+        order = np.lexsort((b, a, share))
+        kept = order[_spanning(part[a[order]], part[b[order]], names.size)]
+        a, b, share = a[kept], b[kept], share[kept]
+    if a.size:
+        yield ids[a], ids[b]
+
+
+def _candidates(posted: DataFrame, pairs: Callable | None = None) -> DataFrame:
+    """Of rows (key, id, at): the pairs (u, v), v < u, of short lists, and the long lists' rows. Of these with part and the words of the signature: what ``pairs`` gives. ``at`` packs size and place."""
+    signed = pairs is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held = ["u", "v", "at"], np.empty((0, 3 + last * (1 + WORDS)), np.int64)
+        names, held = ["u", "v", "at"], np.empty((0, 3 + signed * (1 + WORDS)), np.int64)
 
         def rows(u: np.ndarray, v: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([*map(pa.array, (u, v, at))], names=names)
@@ -153,8 +184,10 @@ def _candidates(posted: DataFrame, last: bool) -> DataFrame:
             for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
                 own = x[s:e][np.argsort(x[s:e, 1], kind="stable")]
                 ids, at = own[:, 1], np.stack((own[:, 2] >> 32, own[:, 2] & 0xFFFFFFFF), axis=1)
-                long = not last and e - s > SHORT
-                for u, v in _to_heads(ids, at) if long else _pairs(ids, at, *((own[:, 3], own[:, 4:]) if last else (ids,))):
+                if not signed and e - s > SHORT:
+                    yield rows(own[:, 0], ids, own[:, 2])
+                    continue
+                for u, v in pairs(ids, at, own[:, 3], own[:, 4:]) if signed else _pairs(ids, at, ids):
                     us.append(u)
                     vs.append(v)
                     count += u.size
@@ -162,8 +195,6 @@ def _candidates(posted: DataFrame, last: bool) -> DataFrame:
                         u, v = np.concatenate(us), np.concatenate(vs)
                         yield rows(u, v, np.full(u.size, PAIR))
                         us, vs, count = [], [], 0
-                if long:
-                    yield rows(own[:, 0], ids, own[:, 2])
             if us:
                 u, v = np.concatenate(us), np.concatenate(vs)
                 yield rows(u, v, np.full(u.size, PAIR))
@@ -179,7 +210,7 @@ def _candidates(posted: DataFrame, last: bool) -> DataFrame:
         if len(held):
             yield from lists(held)
 
-    dealt = posted.select("key", "id", "at", *["part", *[F.element_at("words", w + 1).alias(f"w{w}") for w in range(WORDS)]] * last).repartition("key").sortWithinPartitions("key")
+    dealt = posted.select("key", "id", "at", *["part", *[F.element_at("words", w + 1).alias(f"w{w}") for w in range(WORDS)]] * signed).repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "u bigint, v bigint, at bigint")
 
 
@@ -234,12 +265,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = found.groupBy("id").agg(F.min(F.struct("tk", "doc_id")).alias("rep"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("first").alias("first"), F.first("words").alias("words"))
     posted = sets.select("id", "size", F.posexplode("first").alias("place", "key")).select("key", "id", (F.shiftleft("size", 32) + F.col("place")).alias("at"))
     reps, found = checkpoint(sets.select("id", "rep", "size", "sig", "words")), found.select("doc_id", "tk", "id")
-    once = checkpoint(_candidates(posted, last=False))
-    edges = _verified(once.where(F.col("at") == PAIR).select("u", "v").distinct(), reps, given, width)
-    parts = stars(edges).select(F.col("u").alias("id"), F.col("v").alias("part"))
-    rest = once.where(F.col("at") != PAIR).select(F.col("u").alias("key"), F.col("v").alias("id"), "at").join(parts, "id", "left").join(reps.select("id", "words"), "id")
-    again = checkpoint(_candidates(rest.withColumn("part", F.coalesce("part", "id")), last=True).select("u", "v").distinct())
-    star = stars(edges.union(_verified(again, reps, given, width)))
+    once = checkpoint(_candidates(posted))
+    star = stars(_verified(once.where(F.col("at") == PAIR).select("u", "v").distinct(), reps, given, width))
+    long = once.where(F.col("at") != PAIR).select(F.col("u").alias("key"), F.col("v").alias("id"), "at")
+    for pairs in (_forest, _pairs):
+        parts = star.select(F.col("u").alias("id"), F.col("v").alias("part"))
+        rest = long.join(parts, "id", "left").join(reps.select("id", "words"), "id").withColumn("part", F.coalesce("part", "id"))
+        star = stars(star.union(_verified(checkpoint(_candidates(rest, pairs).select("u", "v").distinct()), reps, given, width)))
     rooted = found.groupBy("id").agg(F.min("doc_id").alias("first_id")).join(star.select(F.col("u").alias("id"), F.col("v").alias("up")), "id", "left")
     rooted = rooted.select("id", "first_id", F.coalesce("up", "id").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("id", F.col("root").alias("component"), "component_id")

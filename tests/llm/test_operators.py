@@ -112,6 +112,57 @@ def test_long_lists_keep_every_similar_pair():
     assert similar <= got and 100 < len(got) < 0.9 * len(sets) * (len(sets) - 1) / 2
 
 
+def test_groups_of_near_copies_cost_as_many_rows_as_members(spark, monkeypatch):
+    """A large group in which many pairs are near, among other texts with the same passage: no row for each pair."""
+    r = np.random.default_rng(11)
+    base = [f"w{x}" for x in r.integers(0, 5000, 300)]
+    texts = []
+    for k in range(400):
+        words = list(base)
+        for at in r.integers(0, len(words), 3 + k % 3):
+            words[at] = f"n{r.integers(1 << 40)}"
+        texts.append(" ".join(words))
+    texts += [" ".join([*base[:100], *[f"o{k}x{j}" for j in range(200)]]) for k in range(100)]
+    sets = [word_shingles(t) for t in texts]
+    similar = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(similar) > 15_000
+    want = _components(len(texts), similar)
+    given, verified = [], near._verified
+    monkeypatch.setattr(near, "_verified", lambda pairs, *rest: given.append(pairs.count()) or verified(pairs, *rest))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.component_id for x in near.near_duplicates(df).collect()} == dict(enumerate(want))
+    assert sum(given) < 4 * len(texts), given
+
+
+def test_forests_join_what_all_pairs_join():
+    """Forests of candidates against all of them, on sets at all distances, in parts and in lists that come in several steps."""
+    r = np.random.default_rng(3)
+    for n, size in ((2, 40), (30, 60), (300, 400), (1500, 90)):
+        base = np.unique(r.integers(-(1 << 62), 1 << 62, size))
+        sets = [np.unique(np.where(r.random(base.size) < r.choice([0.02, 0.06, 0.1, 0.5]), r.integers(-(1 << 62), 1 << 62, base.size), base)) for _ in range(n)]
+        at, ids = np.array([(s.size, 0) for s in sets]), np.sort(r.choice(10 * n, n, replace=False))
+        words = np.array([np.frombuffer(near.signature(s, 64 * near.WORDS), np.int64) for s in sets])
+        for parts in (ids, ids[r.integers(0, n, n)], np.full(n, 5)):
+            joined = lambda found: _components(n, [*[(i, int(np.flatnonzero(parts == parts[i])[0])) for i in range(n)], *found])
+            found = [[(int(np.searchsorted(ids, u)), int(np.searchsorted(ids, v))) for us, vs in f(ids, at, parts, words) for u, v in zip(us, vs, strict=True)] for f in (near._forest, near._pairs)]
+            assert set(found[0]) <= set(found[1]) and len(found[0]) < max(1, len(set(parts.tolist())))
+            assert joined(found[0]) == joined(found[1])
+
+
+def _components(n, edges):
+    up = list(range(n))
+
+    def top(i):
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return [top(i) for i in range(n)]
+
+
 # SimHash
 
 
