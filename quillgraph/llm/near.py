@@ -1,7 +1,9 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: every pair of at least 0.8 is found.
+"""Near-duplicates by SimHash, verified by the Jaccard similarity of word shingles: every pair of at least 0.8 is found.
 
-No 64-bit SimHash distance that an index could serve reaches that similarity (the README has the
-recall), so candidates come from an exact prefix filter: with the shingles of every text in one
+SimHash goes first: fingerprints of the same shingles, linked through the byte-position index, its
+count filter and the bit-by-bit verification of ``simhash.links``. A link holds if the sets verify it.
+No 64-bit SimHash distance that an index could serve reaches all pairs of that similarity (the README has the
+recall), so what it leaves apart is completed by an exact prefix filter: with the shingles of every text in one
 total order, two sets of Jaccard 0.8 share a shingle among the first s - ceil(0.8 s) + 1 of each.
 The order puts shingles that a sample of the texts holds often last, so that common lines and
 passages are hardly ever posted; any order gives the same links. Sizes and places in the order
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import bound_batches, checkpoint, hash_unit
-from quillgraph.llm.simhash import stars
+from quillgraph.llm.simhash import fingerprint, links, stars
 
 SEED = 42
 #: Texts in the sample that tells common shingles, and how many of these are told to the workers. They shift work only.
@@ -214,6 +216,15 @@ def _candidates(posted: DataFrame, pairs: Callable | None = None) -> DataFrame:
     return dealt.mapInArrow(run, "u bigint, v bigint, at bigint")
 
 
+def _fingerprint_links(sets: DataFrame, max_bits: int) -> DataFrame:
+    """Of rows (id, fp): pairs (u, v), v < u, of sets whose fingerprints SimHash links; sets of one fingerprint with the first of them."""
+    sets = sets.select("fp", "id")
+    first = checkpoint(sets.groupBy("fp").agg(F.min("id").alias("first")))
+    one = lambda end: first.select(F.col("fp").alias(end), F.col("first").alias(f"i{end}"))
+    apart = links(first.select("fp"), max_bits).join(one("u"), "u").join(one("v"), "v").select(F.greatest("iu", "iv").alias("u"), F.least("iu", "iv").alias("v"))
+    return apart.union(sets.join(first, "fp").where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")))
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """The pairs (u, v) of sets whose Jaccard similarity is 0.8 at least; the sets are made again from one text each."""
 
@@ -242,8 +253,8 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int) ->
     return checkpoint(pairs.join(a, "u").join(b, "v").where(9 * shared >= 4 * (F.size("a") + F.size("b"))).select("u", "v"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """(doc_id, text_key, component, component_id) for every row; links are transitive.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, max_bits: int = 3) -> DataFrame:
+    """(doc_id, text_key, component, component_id) for every row; links are transitive. Fingerprints link at ``max_bits``, which shifts work only.
 
     text_key is xxhash64 of the text's bytes, component one of its set hashes and component_id its smallest id, which
     components share if rows with different texts share an id.
@@ -257,16 +268,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sets = [shingles(t.as_py(), width) for t in b.column(2)]
             ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
             first = pa.array([prefix(s, *shared.value) for s in sets], pa.list_(pa.int64()))
+            fps = np.array([fingerprint(t.as_py(), width) for t in b.column(2)], dtype=np.uint64).view(np.int64)
             words = pa.array([np.frombuffer(signature(s, 64 * WORDS), np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids), pa.array([s.size for s in sets], pa.int64()), first, pa.array([signature(s) for s in sets], pa.binary()), words], names=["doc_id", "tk", "id", "size", "first", "sig", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids), pa.array([s.size for s in sets], pa.int64()), first, pa.array([signature(s) for s in sets], pa.binary()), words, pa.array(fps)], names=["doc_id", "tk", "id", "size", "first", "sig", "words", "fp"])
 
     kind = given.schema["doc_id"].dataType.simpleString()
-    found = checkpoint(given.select("doc_id", F.xxhash64("t").alias("tk"), "t").mapInArrow(run, f"doc_id {kind}, tk bigint, id bigint, size bigint, first array<bigint>, sig binary, words array<bigint>"))
-    sets = found.groupBy("id").agg(F.min(F.struct("tk", "doc_id")).alias("rep"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("first").alias("first"), F.first("words").alias("words"))
+    found = checkpoint(given.select("doc_id", F.xxhash64("t").alias("tk"), "t").mapInArrow(run, f"doc_id {kind}, tk bigint, id bigint, size bigint, first array<bigint>, sig binary, words array<bigint>, fp bigint"))
+    sets = found.groupBy("id").agg(F.min(F.struct("tk", "doc_id")).alias("rep"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("first").alias("first"), F.first("words").alias("words"), F.min("fp").alias("fp"))
     posted = sets.select("id", "size", F.posexplode("first").alias("place", "key")).select("key", "id", (F.shiftleft("size", 32) + F.col("place")).alias("at"))
-    reps, found = checkpoint(sets.select("id", "rep", "size", "sig", "words")), found.select("doc_id", "tk", "id")
+    reps, found = checkpoint(sets.select("id", "rep", "size", "sig", "words", "fp")), found.select("doc_id", "tk", "id")
+    star = stars(_verified(checkpoint(_fingerprint_links(reps, max_bits).distinct()), reps, given, width))
     once = checkpoint(_candidates(posted))
-    star = stars(_verified(once.where(F.col("at") == PAIR).select("u", "v").distinct(), reps, given, width))
+    short = once.where(F.col("at") == PAIR).select("u", "v").distinct()
+    star = stars(star.union(_verified(short, reps, given, width)))
     long = once.where(F.col("at") != PAIR).select(F.col("u").alias("key"), F.col("v").alias("id"), "at")
     for pairs in (_forest, _pairs):
         parts = star.select(F.col("u").alias("id"), F.col("v").alias("part"))

@@ -134,6 +134,27 @@ def test_groups_of_near_copies_cost_as_many_rows_as_members(spark, monkeypatch):
     assert sum(given) < 4 * len(texts), given
 
 
+def test_fingerprints_link_near_copies_without_the_prefix_filter(spark, monkeypatch):
+    """What SimHash alone joins: long texts with a word changed; not texts of one fingerprint whose sets differ, as those that differ in what a repeated passage outweighs."""
+    r = np.random.default_rng(5)
+    texts = []
+    for _ in range(30):
+        words = [f"w{x}" for x in r.integers(0, 5000, 1500)]
+        texts.append(" ".join(words))
+        words[int(r.integers(len(words)))] = "changed"
+        texts.append(" ".join(words))
+    passage = " ".join(f"p{i}" for i in range(30)) + " "
+    texts += [passage * 400 + " ".join(f"own{k}x{i}" for i in range(60)) for k in range(2)]
+    texts += ["", None, texts[0]]
+    sets, prints = [word_shingles(t) for t in texts], [simhash.fingerprint((t or "").encode(), 5) for t in texts]
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3]
+    similar = [(i, j) for i, j in linked if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(linked) > len(similar) > 20
+    monkeypatch.setattr(near, "_candidates", lambda *given, **named: spark.createDataFrame([], "u bigint, v bigint, at bigint"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert [x.component_id for x in near.near_duplicates(df).orderBy("doc_id").collect()] == _components(len(texts), similar)
+
+
 def test_forests_join_what_all_pairs_join():
     """Forests of candidates against all of them, on sets at all distances, in parts and in lists that come in several steps."""
     r = np.random.default_rng(3)
