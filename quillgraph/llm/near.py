@@ -43,6 +43,8 @@ FEW = 400_000
 SHORT = 8
 #: 64-bit words of the signatures that long lists are compared by.
 WORDS = 16
+#: Places in a long list's square that are looked at at once, and pairs whose signatures are: what a worker holds for a list besides its members.
+BLOCK, SIGNED = 1 << 17, 1 << 13
 #: What a pair's row has in place of a member's size and place.
 PAIR = -1
 PRIMES = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], dtype=np.uint64)
@@ -114,12 +116,15 @@ def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _near(at: np.ndarray, parts: np.ndarray, words: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(place of the one, place before it, bits apart) of the fitting pairs that are in different parts and whose signatures, if given, are near enough."""
-    step = max(1, (1 << 20) // len(at))
+    step = max(1, BLOCK // len(at))
     for s in range(0, len(at), step):
-        i, j = np.nonzero(_fits(at[s : s + step], at) & (parts[s : s + step, None] != parts[None, :]))
-        i, j = (i + s)[i + s > j], j[i + s > j]
-        for c in range(0, i.size, 1 << 16):
-            a, b = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
+        before = min(len(at), s + step)  # a pair's second is before its first, so what comes after this block is left to later ones
+        i, j = np.nonzero(_fits(at[s : s + step], at[:before]) & (parts[s : s + step, None] != parts[None, :before]))
+        i += s
+        later = i > j
+        i, j = i[later], j[later]
+        for c in range(0, i.size, SIGNED):
+            a, b = i[c : c + SIGNED], j[c : c + SIGNED]
             apart = np.zeros(a.size, np.int64)
             if words is not None:
                 both = at[a, 0] + at[b, 0]
@@ -277,10 +282,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = found.groupBy("id").agg(F.min(F.struct("tk", "doc_id")).alias("rep"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("first").alias("first"), F.first("words").alias("words"), F.min("fp").alias("fp"))
     posted = sets.select("id", "size", F.posexplode("first").alias("place", "key")).select("key", "id", (F.shiftleft("size", 32) + F.col("place")).alias("at"))
     reps, found = checkpoint(sets.select("id", "rep", "size", "sig", "words", "fp")), found.select("doc_id", "tk", "id")
-    star = stars(_verified(checkpoint(_fingerprint_links(reps, max_bits).distinct()), reps, given, width))
+    linked = _verified(checkpoint(_fingerprint_links(reps, max_bits).distinct()), reps, given, width)
     once = checkpoint(_candidates(posted))
     short = once.where(F.col("at") == PAIR).select("u", "v").distinct()
-    star = stars(star.union(_verified(short, reps, given, width)))
+    star = stars(linked.union(_verified(short, reps, given, width)))  # one search for components serves both
     long = once.where(F.col("at") != PAIR).select(F.col("u").alias("key"), F.col("v").alias("id"), "at")
     for pairs in (_forest, _pairs):
         parts = star.select(F.col("u").alias("id"), F.col("v").alias("part"))

@@ -6,6 +6,7 @@ import random
 import re
 import struct
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -170,6 +171,22 @@ def test_forests_join_what_all_pairs_join():
             assert joined(found[0]) == joined(found[1])
 
 
+def test_long_lists_are_compared_in_little_memory():
+    """What a worker holds for a list of 2,000 members, many of them near, besides the list."""
+    r = np.random.default_rng(3)
+    base = np.unique(r.integers(-(1 << 62), 1 << 62, 200))
+    sets = [np.unique(np.where(r.random(base.size) < r.choice([0.02, 0.06, 0.1, 0.5]), r.integers(-(1 << 62), 1 << 62, base.size), base)) for _ in range(2000)]
+    at, ids = np.array([(s.size, 0) for s in sets]), np.arange(len(sets))
+    words = np.array([np.frombuffer(near.signature(s, 64 * near.WORDS), np.int64) for s in sets])
+    for f in (near._forest, near._pairs):
+        tracemalloc.start()
+        try:
+            assert sum(u.size for u, _ in f(ids, at, ids, words)) > 1000
+            assert tracemalloc.get_traced_memory()[1] < 12 << 20, f
+        finally:
+            tracemalloc.stop()
+
+
 def _components(n, edges):
     up = list(range(n))
 
