@@ -164,12 +164,20 @@ def _forest(ids: np.ndarray, at: np.ndarray, parts: np.ndarray, words: np.ndarra
     names, part = np.unique(parts, return_inverse=True)
     if names.size == 1:
         return
-    a, b, share = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    for x, y, apart in _near(at, part, words):
-        a, b, share = np.concatenate((a, x)), np.concatenate((b, y)), np.concatenate((share, apart / (at[x, 0] + at[y, 0])))
+    held, fresh, count = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)), [], 0
+
+    def spanned() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, share = (np.concatenate(x) for x in zip(held, *fresh, strict=True))
         order = np.lexsort((b, a, share))
         kept = order[_spanning(part[a[order]], part[b[order]], names.size)]
-        a, b, share = a[kept], b[kept], share[kept]
+        return a[kept], b[kept], share[kept]
+
+    for x, y, apart in _near(at, part, words):
+        fresh.append((x, y, apart / (at[x, 0] + at[y, 0])))
+        count += x.size
+        if count > 1 << 16:  # a search for each of the small blocks would go over all groups too often
+            held, fresh, count = spanned(), [], 0
+    a, b, _ = spanned()
     if a.size:
         yield ids[a], ids[b]
 
